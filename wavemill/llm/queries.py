@@ -5,10 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import ngram_lm
 from .common import read
+from .packing import pack, token_pieces
+from .parity_join import jaccard_components
 from .suffix_dedup import suffix_dedup
 
 
+def remainder(n: int):
+    """The fold of a document: crc32 of its doc_id as text."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def tokenizer() -> tuple[str, str]:
+    """Path and splitting pattern of the tokenizer that op4 names."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(read(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -19,8 +34,25 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(token_pieces(read(spark, sf_dir, "documents"), *tokenizer()))
+
+
+def op5_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def op6_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = ngram_lm.train(docs.filter(remainder(7) != 2).select("text"))
+    return ngram_lm.score(docs, model).select("doc_id", (remainder(7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op4_packing": op4_packing,
+    "op5_parity_join": op5_parity_join,
+    "op6_ngram_lm": op6_ngram_lm,
 }
 
 ORACLES: dict[str, str] = {}
