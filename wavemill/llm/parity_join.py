@@ -9,8 +9,9 @@ hashes, which is a fingerprint of a sketch with one bit per possible hash. Empty
 set has 1 + z of them, as only then could they be all that agrees.
 
 Equal sets collapse to one representative first. Members of a part that agree are verified against the least of them;
-links make components; parts whose members are then in several components are verified pair by pair, in blocks, by sketches and then
-exactly, which finds links that don't touch the least member. So no group emits all its pairs.
+links make components. Groups that agree in a part but whose members are then in several components are compared across these, in
+blocks, by parity sketches; the pairs that sketches don't rule out are verified exactly, each document's closest first
+and then all left. So links that don't touch the least member are found, and no group emits all its pairs.
 
 Cases: no words or null text: empty set, linked with nothing; fewer than n words: the whole sequence is the one
 shingle; a null doc_id has a null component; repeated rows share a component; an empty table gives an empty result.
@@ -170,8 +171,8 @@ def _agreeing(table: pa.Table) -> pa.Table:
     return pa.table({"gid": np.repeat(gid, size).view(np.int64), "_id": doc[at]})
 
 
-def _sets(n: int):
-    """mapInArrow: each document's set, 48 bits an element, sorted."""
+def _sets(n: int, percent: int):
+    """mapInArrow: each document's set, 48 bits an element, sorted; and its sketch."""
 
     def run(batches):
         spans = B.Spans()
@@ -179,8 +180,10 @@ def _sets(n: int):
             for i, j, b, off in B.chunks(batch.column(1)):
                 row, h = shingles(b, off, spans, n)
                 raw = np.ascontiguousarray((h >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-                edge = np.searchsorted(row, np.arange(j - i + 1)) * 6
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([raw[edge[x] : edge[x + 1]] for x in range(j - i)], pa.binary())], names=["_id", "elements"])
+                edge = np.searchsorted(row, np.arange(j - i + 1))
+                elements = [raw[6 * edge[x] : 6 * edge[x + 1]] for x in range(j - i)]
+                sketches = [_sketch(h[edge[x] : edge[x + 1]], percent) for x in range(j - i)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(elements, pa.binary()), pa.array(sketches, pa.binary())], names=["_id", "elements", "sketch"])
 
     return run
 
@@ -227,57 +230,64 @@ def _against_least(percent: int):
     return run
 
 
-def _sketches(x: np.ndarray, off: np.ndarray, bits: int) -> np.ndarray:
-    """Parity sketches: each element toggles one of `bits` bits."""
-    row = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    flips = np.bincount(row * bits + (B.fmix(x) % np.uint64(bits)).astype(np.int64), minlength=(len(off) - 1) * bits)
-    return np.packbits((flips & 1).astype(np.uint8).reshape(-1, bits), axis=1).view(np.uint64)
+def _sketch(elements: np.ndarray, percent: int) -> bytes:
+    """A parity sketch: each element toggles one bit; of eight times as many bits as linked sets of this size can differ in, rounded up to a power of two."""
+    bits = 1 << max(8, int(8 * (100 - percent) * len(elements) // percent).bit_length())
+    flips = np.bincount((B.fmix(elements) % np.uint64(bits)).astype(np.int64), minlength=bits)
+    return np.packbits((flips & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
-def _in_blocks(percent: int):
-    """All pairs of one block pair that are in different components yet: by size, by sketch, then exactly. Pairs that links found here connect are passed over."""
+def _folded(raw: list[bytes]) -> np.ndarray:
+    """Sketches brought to the smallest size among them: halves meet by exclusive or, which is the sketch of half the bits."""
+    least, out = min(len(x) for x in raw), []
+    for x in raw:
+        a = np.frombuffer(x, np.uint64)
+        while len(a) * 8 > least:
+            a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+        out.append(a)
+    return np.stack(out)
 
-    def run(table: pa.Table) -> pa.Table:
-        ids, label, side = table["_id"].to_numpy(), table["label"].to_numpy(), table["side"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids, label, side = ids[order], label[order], side[order]
-        raw = table["elements"].to_pylist()
-        x, off = _elements([raw[i] for i in order])
-        size = np.diff(off)
-        away = 100 - percent
-        bits = 1 << max(9, int(8 * away * int(size.max(initial=1)) // percent).bit_length())
-        sketch = _sketches(x, off, bits) if len(ids) * bits <= 1 << 28 else None
-        root = {int(v): int(v) for v in label}
-
-        def find(v: int) -> int:
-            while root[v] != v:
-                root[v] = root[root[v]]
-                v = root[v]
-            return v
 
+def _near_pairs(percent: int, closest: bool):
+    """Pairs of one block pair that are in different components yet and whose sketches don't rule out a link. closest: only
+    each document's closest."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, label, side, size = (table[x].to_numpy(zero_copy_only=False) for x in ("_id", "label", "side", "n"))
+        sketch, away = _folded(table["sketch"].to_pylist()), 100 - percent
+        both = side.any()
         a, b = [], []
         for i in range(len(ids)):
-            j = np.arange(i + 1, len(ids))
-            if side.any():  # two blocks: only pairs across
-                j = j[side[j] != side[i]]
-            small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
-            j = j[100 * small >= percent * large]
-            if sketch is not None and len(j):
-                far = np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1)
-                j = j[far * percent <= away * np.minimum(size[i], size[j])]
-            for k in j:
-                if find(int(label[i])) != find(int(label[k])):
-                    both = int(_common(x[off[i] : off[i + 1]], x[off[k] : off[k + 1]], np.array([0, size[k]]))[0])
-                    if 100 * both >= percent * (size[i] + size[k] - both):
-                        root[find(int(label[k]))] = find(int(label[i]))
-                        a.append(ids[i])
-                        b.append(ids[k])
-        return _link_table(a, b)
+            ok = (label != label[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
+            if both:  # two blocks: only pairs across
+                ok &= side != side[i]
+            j = np.flatnonzero(ok if closest else ok & (np.arange(len(ids)) > i))
+            if not len(j):
+                continue
+            far = np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1).astype(np.int64)
+            passed = far * percent <= away * np.minimum(size[i], size[j])
+            if closest and passed.any():
+                j = j[[np.where(passed, far, far.max() + 1).argmin()]]
+            else:
+                j = j[passed]
+            a.append(np.minimum(ids[j], ids[i]))
+            b.append(np.maximum(ids[j], ids[i]))
+        cat = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
+        return pa.table({"head": cat(a), "_id": cat(b)})
 
     return run
 
 
-def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, block: int = 512) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links among pairs (head, _id). A head with many partners has its set sent to several tasks."""
+    spread = pairs.groupBy("head").agg(F.ceil(F.count("*") / 1000).cast("int").alias("salts"))
+    members = pairs.join(spread, "head").select("_id", "head", F.pmod(F.xxhash64("_id"), F.col("salts")).cast("int").alias("salt"), F.lit(False).alias("lead"))
+    heads = spread.select(F.col("head").alias("_id"), "head", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("lead"))
+    needed = members.unionByName(heads).join(sets.select("_id", "elements"), "_id")
+    return needed.groupBy("head", "salt").applyInArrow(_against_least(percent), LINKS)
+
+
+def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, block: int = 2048) -> DataFrame:
     """doc_id, n_shingles, representative (least document of the same set), component_id."""
     spark = docs.sparkSession
     path = C.scratch(spark, "jaccard")
@@ -295,7 +305,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, block: in
     C.release(spark)
 
     wanted = groups.select("_id").distinct()
-    sets = C.written(named.join(wanted, "_id", "left_semi").mapInArrow(_sets(n), "_id bigint, elements binary").dropDuplicates(["_id"]), f"{path}/sets")
+    sets = C.written(named.join(wanted, "_id", "left_semi").mapInArrow(_sets(n, percent), "_id bigint, elements binary, sketch binary").dropDuplicates(["_id"]), f"{path}/sets")
     C.release(spark)
 
     # Against the least member of each group.
@@ -303,25 +313,26 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, block: in
     pairs = groups.join(least, "gid").select(F.col("least._id").alias("head"), F.col("least.n").alias("head_n"), "_id", "n")
     pairs = pairs.filter(F.col("head") != F.col("_id")).filter(100 * F.least("n", "head_n") >= percent * F.greatest("n", "head_n")).select("head", "_id").distinct()
     pairs = C.written(pairs, f"{path}/pairs")
-    spread = pairs.groupBy("head").agg(F.ceil(F.count("*") / 1000).cast("int").alias("salts"))
-    members = pairs.join(spread, "head").select("_id", "head", F.pmod(F.xxhash64("_id"), F.col("salts")).cast("int").alias("salt"), F.lit(False).alias("lead"))
-    heads = spread.select(F.col("head").alias("_id"), "head", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("lead"))
-    needed = members.unionByName(heads).join(sets, "_id")
-    links = C.written(needed.groupBy("head", "salt").applyInArrow(_against_least(percent), LINKS), f"{path}/links1")
+    links = C.written(_verified(pairs, sets, percent), f"{path}/links1")
     labels = components(links)
 
-    # Groups whose members are still in several components.
-    tagged = groups.join(labels.withColumnRenamed("node", "_id"), "_id", "left").withColumn("label", F.coalesce("label", "_id"))
-    split = tagged.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members")).filter("low != high and members > 2")
-    split = split.withColumn("blocks", F.ceil(F.col("members") / block).cast("int")).select("gid", "blocks")
-    left = tagged.join(split, "gid").select("gid", "_id", "label", "blocks", F.pmod(F.xxhash64("_id"), F.col("blocks")).cast("int").alias("own"))
-    left = left.select("gid", "_id", "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-    left = left.select("gid", "_id", "label", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), (F.col("own") > F.col("with")).alias("side"))
-    more = left.join(sets, "_id").groupBy("gid", "i", "j").applyInArrow(_in_blocks(percent), LINKS)
-    more = C.written(more, f"{path}/links2")
-    if more.limit(1).count():
-        labels = components(links.unionByName(more))
+    # Groups whose members are still in several components: first each document's closest, then all that may link yet.
+    for turn, closest in enumerate((True, False)):
+        tagged = groups.join(labels.withColumnRenamed("node", "_id"), "_id", "left").withColumn("label", F.coalesce("label", "_id"))
+        split = tagged.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members")).filter("low != high and members > 2")
+        split = split.withColumn("blocks", F.ceil(F.col("members") / block).cast("int")).select("gid", "blocks")
+        left = tagged.join(split, "gid").select("gid", "_id", "n", "label", "blocks", F.pmod(F.xxhash64("_id"), F.col("blocks")).cast("int").alias("own"))
+        left = left.select("gid", "_id", "n", "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+        left = left.select("gid", "_id", "n", "label", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), (F.col("own") > F.col("with")).alias("side"))
+        near = left.join(sets.select("_id", "sketch"), "_id").groupBy("gid", "i", "j").applyInArrow(_near_pairs(percent, closest), "head bigint, _id bigint").distinct()
+        near = C.written(near.join(pairs, ["head", "_id"], "left_anti"), f"{path}/near{turn}")
+        more = C.written(_verified(near, sets, percent), f"{path}/more{turn}")
+        C.release(spark)
+        pairs = pairs.unionByName(near)
+        if more.limit(1).count():
+            links = links.unionByName(more)
+            labels = components(links)
     out = base.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    for x in ("pairs", "groups", "sets"):
+    for x in ("base", "pairs", "groups", "sets", "near0", "near1"):
         C.delete(spark, f"{path}/{x}")
     return out.select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("rep").alias("representative"), F.coalesce("label", "rep").alias("component_id"))
