@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ngram_lm
+from . import language_id, ngram_lm, quality_fm, toxicity
 from .common import read
+from .learned_partitions import search
 from .packing import pack, token_pieces
 from .parity_join import jaccard_components
 from .suffix_dedup import suffix_dedup
@@ -24,6 +25,10 @@ def tokenizer() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
 
 
+def op1_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(read(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -48,11 +53,33 @@ def op6_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.score(docs, model).select("doc_id", (remainder(7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    codes = language_id.learn(docs, remainder(3) != 1)
+    return language_id.predict(docs.select("doc_id", "text"), codes).select("doc_id", (remainder(3) == 1).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op9_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_fm.learn(docs, read(spark, sf_dir, "labels"), remainder(4) != 2)
+    return quality_fm.scores(docs, model).select("doc_id", (remainder(4) == 2).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, read(spark, sf_dir, "labels"), remainder(5) != 0)
+    return toxicity.scores(docs, model).select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES = {
+    "op1_learned_partitions": op1_learned_partitions,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op4_packing": op4_packing,
     "op5_parity_join": op5_parity_join,
     "op6_ngram_lm": op6_ngram_lm,
+    "op8_language_id": op8_language_id,
+    "op9_quality_fm": op9_quality_fm,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
