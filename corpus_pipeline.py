@@ -1,8 +1,69 @@
-"""Stages that make a training corpus of `documents`; see run()."""
+"""Stages that make packed training sequences of `documents`.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet to the shared folder and
+reads it again as the next one's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wavemill.llm import common, quality_fm
+from wavemill.llm.mixing import mix
+from wavemill.llm.packing import pack, token_pieces
+from wavemill.llm.parity_join import jaccard_components
+from wavemill.llm.queries import remainder, tokenizer
+from wavemill.llm.suffix_dedup import suffix_dedup
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorisation machine scores 0.7 or more; it learns from the labels of these documents."""
+    model = quality_fm.learn(docs, common.read(spark, sf_dir, "labels"), remainder(4) != 2)
+    return quality_fm.scores(docs, model).filter(F.col("_score") >= 0.7).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The least document of each component of near copies. Five-word shingles, similarity 0.8; rows without an id stay."""
+    found = jaccard_components(docs, n=5, percent=80)
+    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the bytes that repeat 100-byte strings of earlier ones; those of which no word is left go. Halves of characters at a cut go too."""
+    carried = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    cut = suffix_dedup(docs, carry=carried)
+    whole = F.make_valid_utf8(F.col("kept").cast("string"))
+    text = F.when(F.col("text").isNull(), None).when(F.size("spans") == 0, whole).otherwise(F.translate(whole, "�", ""))
+    out = cut.withColumn("text", text).filter((F.size("spans") == 0) | (F.btrim("text", F.lit(common.BLANKS)) != ""))
+    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents sampled so that tokens follow tempered source, language and topic shares."""
+    return mix(docs).filter("_kept").select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces with their place in sequences of 1024 tokens."""
+    return pack(token_pieces(docs, *tokenizer()))
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("suffix-array dedup", repeated_passages),
+    ("mixing sources", mixture),
+    ("best-fit packing", packing),
+]
+
+#: Tokenising and the classifier can't be put in SQL; the tests hold run() against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = common.written(stage(spark, docs, sf_dir), common.scratch(spark, "stage"))
+    return STAGES[-1][1](spark, docs, sf_dir)

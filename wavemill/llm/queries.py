@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from . import language_id, ngram_lm, quality_fm, toxicity
 from .common import read
+from .host_rules import host_rules
 from .learned_partitions import search
+from .mixing import mix
 from .packing import pack, token_pieces
 from .parity_join import jaccard_components
 from .suffix_dedup import suffix_dedup
@@ -39,6 +41,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_rules(read(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(token_pieces(read(spark, sf_dir, "documents"), *tokenizer()))
 
@@ -53,6 +59,12 @@ def op6_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.score(docs, model).select("doc_id", (remainder(7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(read(spark, sf_dir, "documents")).select(
+        "doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.col("_weight").alias("weight"), F.col("_probability").alias("probability"), F.col("_kept").alias("kept")
+    )
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     codes = language_id.learn(docs, remainder(3) != 1)
@@ -74,9 +86,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_learned_partitions": op1_learned_partitions,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_host_rules": op3_host_rules,
     "op4_packing": op4_packing,
     "op5_parity_join": op5_parity_join,
     "op6_ngram_lm": op6_ngram_lm,
+    "op7_mixing": op7_mixing,
     "op8_language_id": op8_language_id,
     "op9_quality_fm": op9_quality_fm,
     "op10_toxicity": op10_toxicity,

@@ -289,7 +289,7 @@ SPANS = "array<struct<start: bigint, end: bigint>>"
 RESULT = f"_id bigint, n_bytes bigint, spans {SPANS}, kept binary"
 
 
-def _cut(length: int):
+def _cut(length: int, carried: list[str]):
     """Of one home's documents: the bytes that no repeated window covers."""
 
     def run(docs: pa.Table, flags: pa.Table) -> pa.Table:
@@ -322,15 +322,17 @@ def _cut(length: int):
         cat = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
         offsets = np.concatenate([[0], np.cumsum(cat(counts, np.int64))]).astype(np.int32)
         spans = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(cat(starts, np.int64)), pa.array(cat(ends, np.int64))], ["start", "end"]))
-        return pa.table({"_id": docs["_id"], "n_bytes": pa.array(cat(sizes, np.int64)), "spans": spans, "kept": pa.array(kept, pa.binary())})
+        return pa.table({"_id": docs["_id"], "n_bytes": pa.array(cat(sizes, np.int64)), "spans": spans, "kept": pa.array(kept, pa.binary())} | {c: docs[c] for c in carried})
 
     return run
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, batches: int = 4) -> DataFrame:
-    """doc_id, n_bytes, spans (removed, by byte), kept (the other bytes). batches: how many the documents arrive in."""
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, batches: int = 4, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, n_bytes, spans (removed, by byte), kept (the other bytes), and the columns to carry (with `text`, the text
+    as it was, if any are). batches: how many the documents arrive in."""
     spark = docs.sparkSession
-    docs = C.without_null_ids(docs, "text")
+    carried = ["text", *carry] if carry is not None else []
+    whole, docs = C.without_null_ids(docs, "text", *(carry or [])), C.without_null_ids(docs, "text")
     total, cuts = docs.agg(F.count("*"), F.percentile_approx("_id", [i / batches for i in range(1, batches)], 10_000) if batches > 1 else F.lit(None)).first()
     buckets, homes = C.buckets_for(spark, total, 8192), C.buckets_for(spark, total, 4096)
     family = Family(spark, buckets, homes)
@@ -340,18 +342,20 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, batches: int
         family.add(some if high is None else some.filter(F.col("_id") <= high), length, k)
     family.drop_levels()
     flags = family.flagged()
-    at_home = docs.mapInArrow(_with_home(homes), "_id bigint, _text string, key int")
+    at_home = whole.mapInArrow(_with_home(homes), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in whole.schema.fields) + ", key int")
     windows = at_home.groupBy("key").cogroup(flags.filter(F.col("kind") == PARTIAL).groupBy("key")).applyInArrow(_partial_windows(length, buckets), OUT)
     resolved = windows.groupBy("key").applyInArrow(_resolve(homes), OUT)
     repeats = flags.filter(F.col("kind") == REPEAT).unionByName(resolved)
-    out = at_home.groupBy("key").cogroup(repeats.groupBy("key")).applyInArrow(_cut(length), RESULT)
-    return out.select(C.real_id().alias("doc_id"), "n_bytes", "spans", "kept")
+    names = [f"_{c}" for c in carried]
+    schema = ", ".join([RESULT, *[f"`{c}` {whole.schema[c].dataType.simpleString()}" for c in names]])
+    out = at_home.groupBy("key").cogroup(repeats.groupBy("key")).applyInArrow(_cut(length, names), schema)
+    return out.select(C.real_id().alias("doc_id"), "n_bytes", "spans", "kept", *[F.col(f"_{c}").alias(c) for c in carried])
 
 
 def _with_home(homes: int):
     def run(batches):
         for batch in batches:
             key = _home(batch.column(0).to_numpy(zero_copy_only=False), homes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(key, pa.int32())], names=["_id", "_text", "key"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key, pa.int32())], names=[*batch.schema.names, "key"])
 
     return run
