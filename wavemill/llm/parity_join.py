@@ -231,8 +231,8 @@ def _against_least(percent: int):
 
 
 def _sketch(elements: np.ndarray, percent: int) -> bytes:
-    """A parity sketch: each element toggles one bit; of eight times as many bits as linked sets of this size can differ in, rounded up to a power of two."""
-    bits = 1 << max(8, int(8 * (100 - percent) * len(elements) // percent).bit_length())
+    """A parity sketch: each element toggles one bit; of 32 times as many bits as linked sets of this size can differ in, rounded up to a power of two."""
+    bits = 1 << max(8, int(32 * (100 - percent) * len(elements) // percent).bit_length())
     flips = np.bincount((B.fmix(elements) % np.uint64(bits)).astype(np.int64), minlength=bits)
     return np.packbits((flips & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -249,27 +249,26 @@ def _folded(raw: list[bytes]) -> np.ndarray:
 
 
 def _near_pairs(percent: int, closest: bool):
-    """Pairs of one block pair that are in different components yet and whose sketches don't rule out a link. closest: only
-    each document's closest."""
+    """Pairs of one block pair that are in different components yet and whose sketches don't rule out a link. Documents of
+    the largest component are only looked at from the others. closest: only each document's closest."""
 
     def run(table: pa.Table) -> pa.Table:
         ids, label, side, size = (table[x].to_numpy(zero_copy_only=False) for x in ("_id", "label", "side", "n"))
         sketch, away = _folded(table["sketch"].to_pylist()), 100 - percent
+        _, of, count = np.unique(label, return_inverse=True, return_counts=True)
+        rare = of != count.argmax()
         both = side.any()
         a, b = [], []
-        for i in range(len(ids)):
+        for i in np.flatnonzero(rare):
             ok = (label != label[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
             if both:  # two blocks: only pairs across
                 ok &= side != side[i]
-            j = np.flatnonzero(ok if closest else ok & (np.arange(len(ids)) > i))
+            j = np.flatnonzero(ok if closest else ok & (~rare | (np.arange(len(ids)) > i)))
             if not len(j):
                 continue
             far = np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1).astype(np.int64)
             passed = far * percent <= away * np.minimum(size[i], size[j])
-            if closest and passed.any():
-                j = j[[np.where(passed, far, far.max() + 1).argmin()]]
-            else:
-                j = j[passed]
+            j = j[passed] if not closest or not passed.any() else j[[np.where(passed, far, far.max() + 1).argmin()]]
             a.append(np.minimum(ids[j], ids[i]))
             b.append(np.maximum(ids[j], ids[i]))
         cat = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
@@ -287,7 +286,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return needed.groupBy("head", "salt").applyInArrow(_against_least(percent), LINKS)
 
 
-def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, block: int = 2048) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, block: int = 1024) -> DataFrame:
     """doc_id, n_shingles, representative (least document of the same set), component_id."""
     spark = docs.sparkSession
     path = C.scratch(spark, "jaccard")
@@ -316,15 +315,17 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, block: in
     links = C.written(_verified(pairs, sets, percent), f"{path}/links1")
     labels = components(links)
 
-    # Groups whose members are still in several components: first each document's closest, then all that may link yet.
+    # Groups with one least member are one from here on: every pair that agrees in a part is still in a group. Where members
+    # are in several components: first each document's closest, then all that may link yet.
+    led = C.written(groups.join(least.select("gid", F.col("least._id").alias("head")), "gid").select("head", "_id", "n").distinct(), f"{path}/led")
     for turn, closest in enumerate((True, False)):
-        tagged = groups.join(labels.withColumnRenamed("node", "_id"), "_id", "left").withColumn("label", F.coalesce("label", "_id"))
-        split = tagged.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members")).filter("low != high and members > 2")
-        split = split.withColumn("blocks", F.ceil(F.col("members") / block).cast("int")).select("gid", "blocks")
-        left = tagged.join(split, "gid").select("gid", "_id", "n", "label", "blocks", F.pmod(F.xxhash64("_id"), F.col("blocks")).cast("int").alias("own"))
-        left = left.select("gid", "_id", "n", "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-        left = left.select("gid", "_id", "n", "label", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), (F.col("own") > F.col("with")).alias("side"))
-        near = left.join(sets.select("_id", "sketch"), "_id").groupBy("gid", "i", "j").applyInArrow(_near_pairs(percent, closest), "head bigint, _id bigint").distinct()
+        tagged = led.join(labels.withColumnRenamed("node", "_id"), "_id", "left").withColumn("label", F.coalesce("label", "_id"))
+        split = tagged.groupBy("head").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members")).filter("low != high and members > 2")
+        split = split.withColumn("blocks", F.ceil(F.col("members") / block).cast("int")).select("head", "blocks")
+        left = tagged.join(split, "head").select("head", "_id", "n", "label", "blocks", F.pmod(F.xxhash64("_id"), F.col("blocks")).cast("int").alias("own"))
+        left = left.select("head", "_id", "n", "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+        left = left.select("head", "_id", "n", "label", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), (F.col("own") > F.col("with")).alias("side"))
+        near = left.join(sets.select("_id", "sketch"), "_id").groupBy("head", "i", "j").applyInArrow(_near_pairs(percent, closest), "head bigint, _id bigint").distinct()
         near = C.written(near.join(pairs, ["head", "_id"], "left_anti"), f"{path}/near{turn}")
         more = C.written(_verified(near, sets, percent), f"{path}/more{turn}")
         C.release(spark)
@@ -333,6 +334,6 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, block: in
             links = links.unionByName(more)
             labels = components(links)
     out = base.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    for x in ("base", "pairs", "groups", "sets", "near0", "near1"):
+    for x in ("base", "pairs", "groups", "sets", "near0", "near1", "led"):
         C.delete(spark, f"{path}/{x}")
     return out.select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("rep").alias("representative"), F.coalesce("label", "rep").alias("component_id"))
