@@ -153,7 +153,7 @@ def wave_delay(spark, d):
 
 
 @query(f"""WITH p AS {PAIRS}, r AS (SELECT event_type, arg_min(value, x) * pow(10, -3.0 / 20) AS t FROM {E} GROUP BY event_type)
-SELECT event_type, round(min(x0 + (t - y0) / (y1 - y0) * (x1 - x0)) FILTER (y0 >= t AND y1 < t), 6) AS bandwidth FROM p JOIN r USING (event_type) GROUP BY event_type""")
+SELECT event_type, coalesce(round(min(x0 + (t - y0) / (y1 - y0) * (x1 - x0)) FILTER (y0 >= t AND y1 < t), 6), CAST('nan' AS DOUBLE)) AS bandwidth FROM p JOIN r USING (event_type) GROUP BY event_type""")
 def wave_bandwidth_low(spark, d):
     return rounded(curves(spark, d).bandwidth(), "bandwidth")
 

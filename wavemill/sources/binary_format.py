@@ -193,28 +193,66 @@ class BinaryFile(ResultFile):
             at += 8 + sum(disk_dtype(s.kind).itemsize for s in entry[2])
         return out
 
+    @cached_property
+    def _records(self) -> tuple[int, int, dict[str, int]] | None:
+        """(points, bytes of a record, each signal's place in it) where all records are alike; else None."""
+        at, tags, places = 8, [], {}
+        sweep_size = disk_dtype(self.sweep.kind).itemsize
+        at += sweep_size
+        for code, tid, traces in self._present():
+            tags.append((at, code, tid))
+            at += 8
+            for t in traces:
+                places[t.name] = at
+                at += disk_dtype(t.kind).itemsize
+        n = (self.value_end - self.value_start) // at
+
+        def tagged(place, code, tid, step=1):
+            pair = np.ndarray((len(range(0, n, step)), 2), ">u4", self.data, self.value_start + place, (at * step, 4))
+            return (pair[:, 0] == code) & (pair[:, 1] == tid)
+
+        if n:
+            good = tagged(0, DECLARATION, self.sweep.id)
+            n = n if good.all() else int(good.argmin())
+        step = max(1, min(1024, n // 8))
+        if n and not all(tagged(p, c, i, step).all() for p, c, i in tags):
+            return None
+        rest = self.value_start + n * at
+        if rest + 8 <= self.value_end and self.value_end - rest >= at and Words(self.data, rest).u32() in (DECLARATION, GROUP):
+            return None
+        return n, at, places
+
     def _rows(self, names: list[str]):
-        entries = self._present()
-        fields = [("c", ">u4"), ("i", ">u4"), ("x", disk_dtype(self.sweep.kind))]
-        place = {}
-        for k, (_, _, traces) in enumerate(entries):
-            fields += [(f"c{k}", ">u4"), (f"i{k}", ">u4")]
-            for j, s in enumerate(traces):
-                place[s.name] = f"v{k}_{j}"
-                fields.append((place[s.name], disk_dtype(s.kind)))
-        record = np.dtype(fields)
-        n = (self.value_end - self.value_start) // record.itemsize
-        rows = np.frombuffer(self.data, record, n, self.value_start)
-        good = (rows["c"] == DECLARATION) & (rows["i"] == self.sweep.id)
-        n = n if good.all() else int(good.argmin())
-        some = rows[:n][:: max(1, min(1024, n // 8))]
-        regular = all(((some[f"c{k}"] == c) & (some[f"i{k}"] == i)).all() for k, (c, i, _) in enumerate(entries))
-        rest = self.value_start + n * record.itemsize
-        ends = rest + 8 > self.value_end or Words(self.data, rest).u32() not in (DECLARATION, GROUP) or self.value_end - rest < record.itemsize
-        if not regular or not ends:
+        if self._records is None:
             return self._walk(names)
-        rows = rows[:n]
-        return rows["x"].astype(self.sweep.kind.dtype()), {m: rows[place[m]].astype(self.signal(m).kind.dtype()) if m in place else np.empty(0, self.signal(m).kind.dtype()) for m in names}
+        n, size, places = self._records
+
+        def gather(kind: Kind, place: int | None):
+            if place is None or not n:  # declared only
+                return np.empty(0, kind.dtype())
+            view = np.frombuffer(self.data, np.uint8, n * size, self.value_start)
+            d = disk_dtype(kind)
+            return np.ndarray((n,), d, view, place, (size,)).astype(kind.dtype()) if not d.subdtype else np.ndarray((n, *d.shape), d.base, view, place, (size, *np.empty(d.shape, d.base).strides)).astype(kind.item.dtype())
+
+        return gather(self.sweep.kind, 8), {m: gather(self.signal(m).kind, places.get(m)) for m in names}
+
+    def column(self, name, member=None):
+        """A member of a struct is read alone where records are alike."""
+        if member is not None and self.layout == "rows" and self._records is not None:
+            kind, offset = self.signal(name).kind, 0
+            n, size, places = self._records
+            for m, k in kind.members:
+                if m == member and name in places and n:
+                    view = np.frombuffer(self.data, np.uint8, n * size, self.value_start)
+                    return self._rows([])[0], np.ndarray((n,), disk_dtype(k), view, places[name] + offset, (size,)).astype(k.dtype())
+                offset += disk_dtype(k).itemsize
+        if self.layout == "psfxl":
+            from .xl_format import signal
+
+            self.signal(name)
+            x, y = signal(self, name)
+            return x, y if member is None else y[member]
+        return super().column(name, member)
 
     def _walk(self, names: list[str]):
         """Records of differing make-up, tag by tag; an unfinished last point is left out."""
@@ -248,7 +286,8 @@ class BinaryFile(ResultFile):
         while w.at + 8 <= self.value_end:
             code = w.u32()
             if code == PADDING:
-                w.at += w.u32()
+                skip = w.u32()
+                w.at += skip
                 continue
             if code != DECLARATION:
                 break
@@ -291,15 +330,6 @@ class BinaryFile(ResultFile):
             return np.empty(0, self.sweep.kind.dtype()), {n: np.empty(0, self.signal(n).kind.dtype()) for n in names}
         return self._windowed(names) if self.window else self._rows(names)
 
-    def column(self, name, member=None):
-        if self.layout == "psfxl":
-            from .xl_format import signal
-
-            self.signal(name)
-            x, y = signal(self, name)
-            return x, y if member is None else y[member]
-        return super().column(name, member)
-
     def points(self) -> int:
         if self.layout == "psfxl":
             return max((v[1] for v in self.index.values()), default=0)

@@ -36,13 +36,14 @@ class Kind:
         return np.dtype("O" if self.name == "string" else self.name)
 
     def spark(self) -> T.DataType:
+        """Nullable throughout, as what comes from Arrow functions is; there are no nulls."""
         if self.is_complex:
             part = T.FloatType() if self.name == "complex64" else T.DoubleType()
-            return T.StructType([T.StructField("re", part, False), T.StructField("im", part, False)])
+            return T.StructType([T.StructField("re", part), T.StructField("im", part)])
         if self.name == "struct":
-            return T.StructType([T.StructField(n, k.spark(), False) for n, k in self.members])
+            return T.StructType([T.StructField(n, k.spark()) for n, k in self.members])
         if self.name == "array":
-            return T.ArrayType(self.item.spark(), False)
+            return T.ArrayType(self.item.spark())
         return {"int8": T.ByteType(), "int32": T.IntegerType(), "float32": T.FloatType(), "float64": T.DoubleType(), "string": T.StringType()}[self.name]
 
     def arrow(self, a: np.ndarray) -> pa.Array:
