@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common as C
 from .host_rules import word_array
@@ -50,7 +51,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     return out.withColumns({"_source": F.coalesce(docs["source"], F.lit("")), "_lang": F.coalesce(docs["lang"], F.lit("")), "_topic": topic(docs["text"], F.col("_tokens"))})
 
 
-def rake(cells: DataFrame, targets: dict | None = None, tolerance: float = 1e-6, most: int = 20, sweeps: int = 3) -> DataFrame:
+def rake(cells: DataFrame, targets: dict | None = None, tolerance: float = 1e-6, most: int = 20, sweeps: int = 2) -> DataFrame:
     """cells (_source, _lang, _topic, tokens) with weight, whose marginals are the targets' shares of all tokens. `sweeps` over the
     marginals make one step, which is written; there are `most` steps at most."""
     spark = cells.sparkSession
@@ -69,22 +70,22 @@ def rake(cells: DataFrame, targets: dict | None = None, tolerance: float = 1e-6,
         whole = seen.agg(F.sum("goal")).first()[0] or 1.0
         goals[d] = C.written(seen.select(f"_{d}", (F.col("goal") / whole * total).alias("goal")), f"{path}/goal-{d}")
     state = cells.withColumn("weight", F.col("tokens").cast("double"))
+    for d in DIMS:
+        state = state.join(goals[d].withColumnRenamed("goal", f"_goal_{d}"), f"_{d}")
+    state = C.written(state, f"{path}/start")
     for turn in range(most):
-        for d in DIMS * sweeps:
-            sums = state.groupBy(f"_{d}").agg(F.sum("weight").alias("have")).join(goals[d], f"_{d}")
-            scale = sums.select(f"_{d}", F.when(F.col("have") > 0, F.col("goal") / F.col("have")).otherwise(0.0).alias("scale"))
-            state = state.join(scale, f"_{d}").withColumn("weight", F.col("weight") * F.col("scale")).drop("scale")
-        state = C.written(state.select(*cells.columns, "weight"), f"{path}/{turn}")
+        for d in DIMS * sweeps:  # windows read the state once; a sum joined back would read it twice, and its plan double each time
+            have = F.sum("weight").over(Window.partitionBy(f"_{d}"))
+            state = state.withColumn("weight", F.when(have > 0, F.col("weight") * F.col(f"_goal_{d}") / have).otherwise(0.0))
+        state = C.written(state, f"{path}/{turn}")
         if turn:
             C.delete(spark, f"{path}/{turn - 1}")
         # The last marginal is met; how far are the others?
-        off = 0.0
-        for d in DIMS[:-1]:
-            far = state.groupBy(f"_{d}").agg(F.sum("weight").alias("have")).join(goals[d], f"_{d}").agg(F.max(F.abs(F.col("have") - F.col("goal")))).first()[0]
-            off = max(off, (far or 0.0) / max(total, 1))
-        if off < tolerance:
+        far = [state.groupBy(f"_{d}").agg(F.abs(F.sum("weight") - F.first(f"_goal_{d}")).alias("far")).select("far") for d in DIMS[:-1]]
+        off = far[0].unionByName(far[1]).agg(F.max("far")).first()[0] or 0.0
+        if off < tolerance * max(total, 1):
             break
-    return state
+    return state.select(*cells.columns, "weight")
 
 
 def calibrated(cells: DataFrame, fraction: float) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, ngram_lm, quality_fm, toxicity
+from . import language_id, ngram_lm, oracles, quality_fm, toxicity
 from .common import read
 from .host_rules import host_rules
 from .learned_partitions import search
@@ -42,7 +42,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return host_rules(read(spark, sf_dir, "documents"))
+    return host_rules(read(spark, sf_dir, "documents")).withColumns({x: F.round(x, 6) for x in ("host_rate", "host_shrunk")})
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,4 +96,8 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_suffix_dedup": oracles.OP2,
+    "op3_host_rules": oracles.OP3,
+    "op5_parity_join": oracles.OP5,
+}
