@@ -64,9 +64,9 @@ def buckets_for(spark: SparkSession, rows: int, each: int) -> int:
     return max(shuffle_parts(spark), -(-rows // each))
 
 
-def without_null_ids(docs: DataFrame, *cols: str) -> DataFrame:
-    """doc_id and the columns named, under internal names. A null id becomes the least long, which comes first."""
-    return docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias("_id"), *[docs[c].alias(f"_{c}") for c in cols])
+def known_id(docs: DataFrame):
+    """doc_id as _id, a null one as the least long, which comes first."""
+    return F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias("_id")
 
 
 def real_id(c: str = "_id"):

@@ -87,7 +87,7 @@ def learn(docs: DataFrame, of: Column, sample: int = 4000, bits: int = 15, most_
                 x = shares(b, off)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "lang", "x"])
 
-    rows = sorted(chosen.mapInArrow(run, "doc_id bigint, lang string, x binary").collect(), key=lambda r: (r["lang"], r["doc_id"], r["x"]))
+    rows = sorted(chosen.mapInArrow(run, "doc_id bigint, lang string, x binary").collect(), key=lambda r: (r["lang"], r["x"]))
     if not rows:
         return None
     langs = sorted({r["lang"] for r in rows})

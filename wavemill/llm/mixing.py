@@ -46,7 +46,7 @@ def topic(text: Column, tokens: Column) -> Column:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """docs with _tokens and the cell: _source, _lang, _topic."""
+    """docs with _tokens and the cell: _source, _lang, _topic. Columns of these names are replaced."""
     out = docs.withColumn("_tokens", n_tokens(docs["text"]))
     return out.withColumns({"_source": F.coalesce(docs["source"], F.lit("")), "_lang": F.coalesce(docs["lang"], F.lit("")), "_topic": topic(docs["text"], F.col("_tokens"))})
 
@@ -106,7 +106,7 @@ def calibrated(cells: DataFrame, fraction: float) -> DataFrame:
 
 def mix(docs: DataFrame, targets: dict | None = None, fraction: float = 0.8, seed: int = 17) -> DataFrame:
     """docs with _tokens, _topic, _weight (of a token), _probability and _kept."""
-    all_docs = keyed(docs)
+    all_docs = keyed(docs.drop("_tokens", "_source", "_lang", "_topic", "_weight", "_probability", "_kept"))
     cells = all_docs.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("tokens"))
     found = calibrated(rake(cells, targets), fraction).select("_source", "_lang", "_topic", (F.col("weight") / F.col("tokens")).alias("_weight"), F.col("probability").alias("_probability"))
     out = all_docs.join(found, ["_source", "_lang", "_topic"], "left").fillna(0.0, ["_weight", "_probability"])

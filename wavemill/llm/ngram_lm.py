@@ -319,7 +319,8 @@ SCORES = "n_tokens bigint, n_known bigint, base_score double, score double"
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs' other columns with n_tokens, n_known, base_score and score (log10)."""
+    """docs' other columns with n_tokens, n_known, base_score and score (log10), which replace columns of these names."""
+    docs = docs.drop("n_tokens", "n_known", "base_score", "score")
     kept = [c for c in docs.columns if c != text]
     parts = model.__dict__
 

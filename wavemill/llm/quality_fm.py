@@ -161,7 +161,8 @@ def learn(docs: DataFrame, labels: DataFrame, of: Column, sample: int = 12_000):
 
 
 def scores(docs: DataFrame, model) -> DataFrame:
-    """All columns of docs, and score."""
+    """All columns of docs, and _score, which replaces one of that name."""
+    docs = docs.drop("_score")
     names = docs.columns
 
     def run(batches):

@@ -332,7 +332,9 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, batches: int
     as it was, if any are). batches: how many the documents arrive in."""
     spark = docs.sparkSession
     carried = ["text", *carry] if carry is not None else []
-    whole, docs = C.without_null_ids(docs, "text", *(carry or [])), C.without_null_ids(docs, "text")
+    names = [f"_carried{i}" for i in range(len(carried))]
+    whole = docs.select(C.known_id(docs), docs["text"].alias("_text"), *[docs[c].alias(n) for c, n in zip(carried, names, strict=True)])
+    docs = whole.select("_id", "_text")
     total, cuts = docs.agg(F.count("*"), F.percentile_approx("_id", [i / batches for i in range(1, batches)], 10_000) if batches > 1 else F.lit(None)).first()
     buckets, homes = C.buckets_for(spark, total, 8192), C.buckets_for(spark, total, 4096)
     family = Family(spark, buckets, homes)
@@ -346,10 +348,9 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, batches: int
     windows = at_home.groupBy("key").cogroup(flags.filter(F.col("kind") == PARTIAL).groupBy("key")).applyInArrow(_partial_windows(length, buckets), OUT)
     resolved = windows.groupBy("key").applyInArrow(_resolve(homes), OUT)
     repeats = flags.filter(F.col("kind") == REPEAT).unionByName(resolved)
-    names = [f"_{c}" for c in carried]
     schema = ", ".join([RESULT, *[f"`{c}` {whole.schema[c].dataType.simpleString()}" for c in names]])
     out = at_home.groupBy("key").cogroup(repeats.groupBy("key")).applyInArrow(_cut(length, names), schema)
-    return out.select(C.real_id().alias("doc_id"), "n_bytes", "spans", "kept", *[F.col(f"_{c}").alias(c) for c in carried])
+    return out.select(C.real_id().alias("doc_id"), "n_bytes", "spans", "kept", *[F.col(n).alias(c) for c, n in zip(carried, names, strict=True)])
 
 
 def _with_home(homes: int):

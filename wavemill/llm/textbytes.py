@@ -28,7 +28,7 @@ class Spans:
         self.base = BASES[which]
         self.inverse = pow(self.base, -1, 1 << 64)
         self.table = fmix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASES[1 - which]))
-        self.n = 0
+        self.n = -1
 
     def grow(self, n: int) -> None:
         if n > self.n:
