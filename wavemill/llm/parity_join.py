@@ -8,8 +8,8 @@ on (band, part, parity of the part) loses no pair. The part's parity is kept as
 hashes, which is a fingerprint of a sketch with one bit per possible hash. Empty parts agree by chance; they are joined on only where a
 set has 1 + z of them, as only then could they be all that agrees.
 
-Equal sets collapse to one representative first. Members of a part that agree are verified against the least of them;
-links make components. Groups that agree in a part but whose members are then in several components are compared across these, in
+Equal sets collapse to one representative first. Members of a part that agree are verified against the least of them,
+where small sketches don't rule it out; links make components. Groups that agree in a part but whose members are then in several components are compared across these, in
 blocks, by parity sketches; the pairs that sketches don't rule out are verified exactly, each document's closest first
 and then all left. So links that don't touch the least member are found, and no group emits all its pairs.
 
@@ -183,7 +183,8 @@ def _sets(n: int, percent: int):
                 edge = np.searchsorted(row, np.arange(j - i + 1))
                 elements = [raw[6 * edge[x] : 6 * edge[x + 1]] for x in range(j - i)]
                 sketches = [_sketch(h[edge[x] : edge[x + 1]], percent) for x in range(j - i)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(elements, pa.binary()), pa.array(sketches, pa.binary())], names=["_id", "elements", "sketch"])
+                small = [_halved(x, max(32, len(x) // 8)).tobytes() for x in sketches]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(elements, pa.binary()), pa.array(sketches, pa.binary()), pa.array(small, pa.binary())], names=["_id", "elements", "sketch", "small"])
 
     return run
 
@@ -237,15 +238,35 @@ def _sketch(elements: np.ndarray, percent: int) -> bytes:
     return np.packbits((flips & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
+def _halved(raw: bytes, least: int) -> np.ndarray:
+    """A sketch of at most `least` bytes: halves meet by exclusive or, which is the sketch of half the bits."""
+    a = np.frombuffer(raw, np.uint64)
+    while len(a) * 8 > least:
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return a
+
+
 def _folded(raw: list[bytes]) -> np.ndarray:
-    """Sketches brought to the smallest size among them: halves meet by exclusive or, which is the sketch of half the bits."""
-    least, out = min(len(x) for x in raw), []
-    for x in raw:
-        a = np.frombuffer(x, np.uint64)
-        while len(a) * 8 > least:
-            a = a[: len(a) // 2] ^ a[len(a) // 2 :]
-        out.append(a)
-    return np.stack(out)
+    """Sketches brought to the smallest size among them."""
+    least = min(len(x) for x in raw)
+    return np.stack([_halved(x, least) for x in raw])
+
+
+def _plausible(percent: int):
+    """mapInArrow: pairs whose small sketches don't rule out a link."""
+
+    def run(batches):
+        for batch in batches:
+            size = np.minimum(batch.column(2).to_numpy(), batch.column(3).to_numpy())
+            keep = np.zeros(len(size), bool)
+            for i, (a, b) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
+                a, b = a.as_buffer(), b.as_buffer()
+                least = min(a.size, b.size)
+                far = int(np.bitwise_count(_halved(a, least) ^ _halved(b, least)).sum())
+                keep[i] = far * percent <= (100 - percent) * size[i]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["head", "_id"])
+
+    return run
 
 
 def _near_pairs(percent: int, closest: bool):
@@ -304,15 +325,19 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, block: in
     C.release(spark)
 
     wanted = groups.select("_id").distinct()
-    sets = C.written(named.join(wanted, "_id", "left_semi").mapInArrow(_sets(n, percent), "_id bigint, elements binary, sketch binary").dropDuplicates(["_id"]), f"{path}/sets")
+    sets = C.written(named.join(wanted, "_id", "left_semi").mapInArrow(_sets(n, percent), "_id bigint, elements binary, sketch binary, small binary").dropDuplicates(["_id"]), f"{path}/sets")
     C.release(spark)
 
     # Against the least member of each group.
     least = groups.groupBy("gid").agg(F.min(F.struct("_id", "n")).alias("least"))
     pairs = groups.join(least, "gid").select(F.col("least._id").alias("head"), F.col("least.n").alias("head_n"), "_id", "n")
-    pairs = pairs.filter(F.col("head") != F.col("_id")).filter(100 * F.least("n", "head_n") >= percent * F.greatest("n", "head_n")).select("head", "_id").distinct()
+    pairs = pairs.filter(F.col("head") != F.col("_id")).filter(100 * F.least("n", "head_n") >= percent * F.greatest("n", "head_n")).distinct()
     pairs = C.written(pairs, f"{path}/pairs")
-    links = C.written(_verified(pairs, sets, percent), f"{path}/links1")
+    small = sets.select("_id", "small")
+    both = pairs.join(small, "_id").join(small.select(F.col("_id").alias("head"), F.col("small").alias("head_small")), "head")
+    likely = both.select("head", "_id", "n", "head_n", "small", "head_small").mapInArrow(_plausible(percent), "head bigint, _id bigint")
+    pairs = pairs.select("head", "_id")
+    links = C.written(_verified(C.written(likely, f"{path}/likely"), sets, percent), f"{path}/links1")
     labels = components(links)
 
     # Groups with one least member are one from here on: every pair that agrees in a part is still in a group. Where members
@@ -334,6 +359,6 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, block: in
             links = links.unionByName(more)
             labels = components(links)
     out = base.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    for x in ("base", "pairs", "groups", "sets", "near0", "near1", "led"):
+    for x in ("base", "pairs", "likely", "groups", "sets", "near0", "near1", "led"):
         C.delete(spark, f"{path}/{x}")
     return out.select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("rep").alias("representative"), F.coalesce("label", "rep").alias("component_id"))
