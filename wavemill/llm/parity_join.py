@@ -5,13 +5,14 @@ the Hamming distance of two sketches is never above the symmetric difference of
 100 * intersection >= T * union, the smaller of size a, differ in at most d = (100 - T) * a / T elements. Per band of
 sizes, elements are dealt into K = d + 1 + z parts: sketches of a linked pair agree in 1 + z parts at least, so a join
 on (band, part, parity of the part) loses no pair. The part's parity is kept as the exclusive or of its elements'
-hashes, which is a fingerprint of a sketch with one bit per possible hash. Empty parts agree by chance; they are joined on only where a
-set has 1 + z of them, as only then could they be all that agrees.
+hashes, which is a fingerprint of a sketch with one bit per possible hash. Empty parts agree by chance; they are joined
+on only where a set has 1 + z of them, as only then could they be all that agrees.
 
 Equal sets collapse to one representative first. Members of a part that agree are verified against the least of them,
-where small sketches don't rule it out; links make components. Groups that agree in a part but whose members are then in several components are compared across these, in
-blocks, by parity sketches; the pairs that sketches don't rule out are verified exactly, each document's closest first
-and then all left. So links that don't touch the least member are found, and no group emits all its pairs.
+where small sketches don't rule it out; links make components. Groups that agree in a part but whose members are then in
+several components are compared across these, in blocks, by larger sketches; the pairs that these don't rule out are
+verified exactly, each document's closest first and then all left. So links that don't touch the least member are found,
+and no group emits all its pairs.
 
 Cases: no words or null text: empty set, linked with nothing; fewer than n words: the whole sequence is the one
 shingle; a null doc_id has a null component; repeated rows share a component; an empty table gives an empty result.
