@@ -47,15 +47,15 @@ def anchors(b: np.ndarray, off: np.ndarray, spans: B.Spans, length: int, k: int)
     prefix = spans.prefix(b)
     at = np.arange(len(b) - k + 1)
     full = spans.span(prefix, at, at + k)
-    bits = np.uint64(max(1, int(len(b)).bit_length()))
-    key = ((full >> bits) << bits) | at.astype(np.uint64)
+    # The upper half of the hash, then the place: ties go to the left, alike whatever the buffer holds.
+    key = (full & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
     have = 1
     while have * 2 <= width:
         key = np.minimum(key[:-have], key[have:])
         have *= 2
     if have < width:
         key = np.minimum(key[: len(key) - (width - have)], key[width - have :])
-    least = (key & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
+    least = (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
     # Windows that cross the end of a row are no windows.
     row_of = np.repeat(np.arange(len(off) - 1), np.diff(off))[:n]
     ok = at[:n] + length <= off[row_of + 1]
