@@ -232,8 +232,9 @@ def _of_rows(runs: dict[str, np.ndarray], ids: np.ndarray):
     return run, by[np.repeat(left, n) + inner]
 
 
-def _partial_windows(length: int, buckets: int):
-    """Of one home's documents: every window of the runs to be resolved, dealt by its hash; repeats within the home go apart."""
+def _partial_windows(length: int, buckets: int, turn: int, turns: int):
+    """Of one home's documents: the windows of the runs to be resolved whose hash is this turn's, dealt by it; repeats
+    within the home go apart."""
 
     def run(docs: pa.Table, flags: pa.Table) -> pa.Table:
         runs = C.unpack_all([x.as_buffer() for x, kind in zip(flags["blob"], flags["kind"].to_pylist(), strict=True) if kind == PARTIAL], RUN)
@@ -255,7 +256,8 @@ def _partial_windows(length: int, buckets: int):
             fits = start + length <= off[r + 1][k]
             start, k, lo = start[fits], k[fits], lo[fits]
             w1, w2 = (h.span(h.prefix(b), start, start + length) for h in hashes)
-            out.append({"w1": w1, "w2": (w2 >> np.uint64(32)).astype("<u4"), "doc": ids[i + r[k]].astype("<i8"), "lo": lo.astype("<u4")})
+            own = B.fmix(w1) % np.uint64(turns) == turn
+            out.append({"w1": w1[own], "w2": (w2[own] >> np.uint64(32)).astype("<u4"), "doc": ids[i + r[k[own]]].astype("<i8"), "lo": lo[own].astype("<u4")})
         if not out:
             return _rows([])
         a = {x: np.concatenate([o[x] for o in out]) for x in WINDOW}
@@ -327,9 +329,10 @@ def _cut(length: int, carried: list[str]):
     return run
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, batches: int = 4, carry: list[str] | None = None) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, batches: int = 4, turns: int = 2, carry: list[str] | None = None) -> DataFrame:
     """doc_id, n_bytes, spans (removed, by byte), kept (the other bytes), and the columns to carry (with `text`, the text
-    as it was, if any are). batches: how many the documents arrive in."""
+    as it was, if any are). batches: how many the documents arrive in. turns: in how many parts, by hash, partial overlaps
+    are resolved, which bounds what is on disk at once."""
     spark = docs.sparkSession
     carried = ["text", *carry] if carry is not None else []
     names = [f"_carried{i}" for i in range(len(carried))]
@@ -345,9 +348,12 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, batches: int
     family.drop_levels()
     flags = family.flagged()
     at_home = whole.mapInArrow(_with_home(homes), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in whole.schema.fields) + ", key int")
-    windows = at_home.groupBy("key").cogroup(flags.filter(F.col("kind") == PARTIAL).groupBy("key")).applyInArrow(_partial_windows(length, buckets), OUT)
-    resolved = windows.groupBy("key").applyInArrow(_resolve(homes), OUT)
-    repeats = flags.filter(F.col("kind") == REPEAT).unionByName(resolved)
+    repeats = flags.filter(F.col("kind") == REPEAT)
+    for turn in range(turns):
+        windows = at_home.select("_id", "_text", "key").groupBy("key").cogroup(flags.filter(F.col("kind") == PARTIAL).groupBy("key")).applyInArrow(_partial_windows(length, buckets, turn, turns), OUT)
+        resolved = windows.groupBy("key").applyInArrow(_resolve(homes), OUT)
+        repeats = repeats.unionByName(C.written(resolved, f"{family.path}/resolved{turn}"))
+        C.release(spark)
     schema = ", ".join([RESULT, *[f"`{c}` {whole.schema[c].dataType.simpleString()}" for c in names]])
     out = at_home.groupBy("key").cogroup(repeats.groupBy("key")).applyInArrow(_cut(length, names), schema)
     return out.select(C.real_id().alias("doc_id"), "n_bytes", "spans", "kept", *[F.col(n).alias(c) for c, n in zip(carried, names, strict=True)])
