@@ -158,3 +158,12 @@ def test_malformed_text(tmp_path, text):
     with pytest.raises((FormatError, KeyError)):
         f = open_file(put(tmp_path, "bad", text))
         f.columns(["a"])
+
+
+def test_traces_that_are_only_declared(tmp_path):
+    types = W.type_decl(1, "sweep", "float64") + W.type_decl(2, "V", "float64")
+    data = W.binary(0x200, {}, types, W.trace(1, "x", 1), W.trace(11, "a", 2) + W.trace(12, "b", 2), W.rows(XS, [(11, "float64", XS)]))
+    f = open_file(put(tmp_path, "s", data))
+    assert f.declared_only() == {"b"} and f.columns(["a", "b"])[1]["b"].tolist() == []
+    text = 'HEADER\n"v" 1\nTYPE\n"V" FLOAT DOUBLE\nSWEEP\n"t" "V"\nTRACE\n"a" "V"\n"b" "V"\nVALUE\n"t" 1\n"b" 2\n'
+    assert open_file(put(tmp_path, "s2", text)).declared_only() == {"a"}

@@ -222,6 +222,11 @@ class BinaryFile(ResultFile):
             return None
         return n, at, places
 
+    def declared_only(self):
+        if self.layout != "rows" or self.value_start is None or self._records is None or not self._records[0]:
+            return set()
+        return {s.name for s in self.traces if s.name not in self._records[2]}
+
     def _rows(self, names: list[str]):
         if self._records is None:
             return self._walk(names)

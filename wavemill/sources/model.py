@@ -170,6 +170,10 @@ class ResultFile:
         """The sweep's values, and those of the traces named."""
         raise FormatError(f"{self.path}: no swept values")
 
+    def declared_only(self) -> set[str]:
+        """Traces without values, as parents of sweeps may have. Told without reading values."""
+        return set()
+
     def column(self, name: str, member: str | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(sweep, values) of one trace, or of a member of a struct trace."""
         x, y = self.columns([name])

@@ -290,6 +290,10 @@ class TextFile(ResultFile):
         x, ys = self._swept
         return x, {n: ys[place[n]] for n in names}
 
+    def declared_only(self):
+        written = self._text.replace('\\"', "")
+        return {self.traces[i].name for tag, places in self._entries() for i in places if written and f'"{tag}"' not in written}
+
     @cached_property
     def _plain(self) -> list[tuple[Signal, object]]:
         r, out = Reader(tokens(self._text)), []
