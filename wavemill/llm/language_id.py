@@ -4,7 +4,8 @@ Each language has a codeword of bits; one logistic classifier per bit reads the
 (one to three bytes of the lower-cased text). Decoding weights each bit's logistic loss by how often that classifier
 was right, and takes the codeword of least loss; a small lead over the next flags the text as ambiguous.
 
-It learns from a bounded sample: about `sample` documents in all, evenly by language, chosen by the hash of doc_id.
+It learns from a bounded sample: about `sample` documents in all, evenly over the `most_langs` most frequent languages,
+chosen by the hash of doc_id.
 Cases: null text or no letter: `und`, score 0; null languages aren't learned from; no labelled row: `und` for all; one
 language only: that one; repeated rows are predicted each; other columns are ignored.
 """

@@ -183,7 +183,6 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, sample: int = 8192,
     ((dim, n),) = lengths.items()
     good = some.filter(F.size(e) == dim)
     taken = good.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / n))).collect()
-
     x = np.unique(np.array([r["embedding"] for r in taken], np.float32).reshape(-1, dim), axis=0)
     x = x[np.random.default_rng(5).permutation(len(x))]
     router, probes = fit(x, max(2, min(256, int(np.ceil(np.sqrt(n / 64))))), k, recall) if len(x) > 16 else (Router(dim, 1), 1)
