@@ -326,7 +326,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, block: in
     C.release(spark)
 
     wanted = groups.select("_id").distinct()
-    sets = C.written(named.join(wanted, "_id", "left_semi").mapInArrow(_sets(n, percent), "_id bigint, elements binary, sketch binary, small binary").dropDuplicates(["_id"]), f"{path}/sets")
+    sets = C.written(named.join(wanted, "_id", "left_semi").mapInArrow(_sets(n, percent), "_id bigint, elements binary, sketch binary, small binary"), f"{path}/sets")
     C.release(spark)
 
     # Against the least member of each group.
@@ -337,9 +337,21 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, block: in
     small = sets.select("_id", "small")
     both = pairs.join(small, "_id").join(small.select(F.col("_id").alias("head"), F.col("small").alias("head_small")), "head")
     likely = both.select("head", "_id", "n", "head_n", "small", "head_small").mapInArrow(_plausible(percent), "head bigint, _id bigint")
+    likely = C.written(likely.distinct(), f"{path}/likely")
     pairs = pairs.select("head", "_id")
-    links = C.written(_verified(C.written(likely, f"{path}/likely"), sets, percent), f"{path}/links1")
+    C.release(spark)
+    # First each document against one head; of its other pairs only those that are in different components still.
+    links = C.written(_verified(likely.groupBy("_id").agg(F.min("head").alias("head")).select("head", "_id"), sets, percent), f"{path}/links0")
+    C.release(spark)
     labels = components(links)
+    of_head = labels.select(F.col("node").alias("head"), F.col("label").alias("head_label"))
+    apart = likely.join(labels.withColumnRenamed("node", "_id"), "_id", "left").join(of_head, "head", "left")
+    apart = apart.filter(F.coalesce("label", "_id") != F.coalesce("head_label", "head")).select("head", "_id")
+    more = C.written(_verified(apart, sets, percent), f"{path}/links1")
+    C.release(spark)
+    if more.limit(1).count():
+        links = links.unionByName(more)
+        labels = components(links)
 
     # Groups with one least member are one from here on: every pair that agrees in a part is still in a group. Where members
     # are in several components: first each document's closest, then all that may link yet.
