@@ -373,8 +373,8 @@ def window_diff_shift(spark, d):
 
 @query(None)
 def wave_dft(spark, d):
-    """Spectrum of each user's first 64 values, on an even axis."""
+    """Spectrum of each event_type's whole curve, on an even axis: the samples' places."""
     from pyspark.sql.window import Window
 
-    e = table(spark, d, "events").withColumn("n", F.row_number().over(Window.partitionBy("event_type").orderBy("event_id"))).filter("n <= 64")
+    e = table(spark, d, "events").withColumn("n", F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")))
     return rounded(Waveform(e.select("event_type", (F.col("n") * 1.0).alias("t"), "value"), "value", ["event_type", "t"], {"t": "s"}).dft().df, "value")
