@@ -1,4 +1,4 @@
-"""An interpolated modified Kneser-Ney bigram model, counted in Spark and read as memory-mapped sorted arrays.
+"""Interpolated modified Kneser-Ney models of order 2 or 3, counted in Spark and read as memory-mapped sorted arrays.
 
 Words become ids: their place among the sorted 64-bit hashes of all training words. A bigram's key is its two ids in one
 64-bit number. Counts meet in buckets; each bucket's task writes its sorted keys and counts to the shared folder, and
@@ -7,6 +7,13 @@ buckets by the follower. Nothing of the size of the corpus or the vocabulary pas
 
 p(w | v) = (c(v w) - D(c)) / c(v) + g(v) p(w);  p(w) = (n(w) - D'(n)) / n + g' / (V + 1), n(w): distinct words before w.
 
+Order 3: triples meet in the bucket of their last two words, which knows how many distinct words come before each bigram:
+those numbers take the place of the bigrams' counts above (a row's first bigram, before which nothing comes, keeps its count).
+Next to a bigram lie the words before it with the triples' counts, and what follows it as a context. The buckets are
+filled in PASSES turns over the texts, so that only a part of the triples is on its way at once.
+
+p(w | u v) = (c(u v w) - D''(c)) / c(u v) + g''(u v) p(w | v); a row's first token has p(w | start).
+
 The shared folder must be mounted on all machines (file:), as memory maps need it.
 Cases: null text is empty and has only the end token; no training rows: every token has probability 1 / (V + 1) = 1;
 repeated rows count and are scored each; a null doc_id is scored and, its remainder being null, isn't trained on.
@@ -27,6 +34,7 @@ from . import textbytes as B
 
 END = np.uint64(0x5851F42D4C957F2D)
 HOT_SPREAD = 64
+PASSES, BLOCK = 4, 16
 BLOB = "bucket int, blob binary"
 
 
@@ -75,6 +83,13 @@ def _totals(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
+def _grouped(keys: np.ndarray, before: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (bigram, word before it), sorted, with their counts."""
+    k, at = np.unique(keys, return_inverse=True)
+    both, c = _totals(at.astype(np.uint64) << np.uint64(32) | before.astype(np.uint64), counts)
+    return k[(both >> np.uint64(32)).astype(np.int64)], (both & np.uint64(0xFFFFFFFF)).astype("<u4"), c
+
+
 def _blobs(rows) -> pa.RecordBatch:
     rows = list(rows)
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "blob"])
@@ -103,6 +118,31 @@ def _counted(make, bucket_of, buckets: int, flush: int = 3_000_000):
     return run
 
 
+def _counted_triples(make, bucket_of, buckets: int, turn: int, flush: int = 1_500_000):
+    """As _counted, for (bigram, word before it) and the buckets of this turn."""
+
+    def run(batches):
+        step, held, n = make(), [], 0
+
+        def dealt(held):
+            k, u, c = _grouped(*[np.concatenate(x) for x in zip(*held, strict=True)], np.ones(n, np.int64))
+            return _blobs(C.split_by(bucket_of(k), buckets, {"k": k, "u": u, "c": c.astype("<i8")}))
+
+        for batch in batches:
+            for _, _, b, off in B.chunks(batch.column(0)):
+                k, u = step(b, off)
+                own = bucket_of(k) % PASSES == turn
+                held.append((k[own], u[own]))
+                n += len(held[-1][0])
+                if n >= flush:
+                    yield dealt(held)
+                    held, n = [], 0
+        if n:
+            yield dealt(held)
+
+    return run
+
+
 class Words:
     """Ids of hashes: buckets by the leading bits, each a sorted mapped array."""
 
@@ -144,6 +184,29 @@ def bigram_bucket(keys: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray
     return (B.fmix(before * np.uint64(HOT_SPREAD) + spread) % np.uint64(buckets)).astype(np.int64)
 
 
+def words_before(rows: np.ndarray, keys: np.ndarray, none_id: int) -> np.ndarray:
+    """The word before each bigram; none_id before a row's first one."""
+    u = np.empty(len(keys), "<u4")
+    u[1:] = keys[:-1] >> np.uint64(32)
+    u[np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))] = none_id
+    return u
+
+
+def within(a: np.ndarray, start: np.ndarray, end: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The place of each x in its sorted stretch a[start:end], or -1."""
+    lo, hi = start.copy(), end.copy()
+    while len(some := np.flatnonzero(lo < hi)):
+        mid = (lo[some] + hi[some]) >> 1
+        less = a[mid] < x[some]
+        lo[some[less]], hi[some[~less]] = mid[less] + 1, mid[~less]
+    out = np.full(len(x), -1, np.int64)
+    some = np.flatnonzero(lo < end)
+    hit = some[a[lo[some]] == x[some]]
+    out[hit] = lo[hit]
+    return out
+
+
+FOLLOWED = {"k": "<u8", "n1": "<u4", "n2": "<u4", "n3": "<u4", "more": "<i8"}
 CONTEXT = {"id": "<u4", "total": "<i8", "n1": "<i8", "n2": "<i8", "n3": "<i8", "cont": "<i8"}
 
 
@@ -157,6 +220,10 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(min(max(x, 0.0), i + 1.0) for i, x in enumerate(d))
 
 
+#: Beside a bucket's bigrams: words before them and counts of the triples, starts of blocks, and what follows as a context.
+TRIPLES = {"u": "<u4", "t": "<u1", "ti": "<i8", "tc": "<i8", "base": "<i8", "x": "<u2", "xi": "<i8", "xt": "<i8", "x1": "<i8", "x2": "<i8", "x3": "<i8"}
+
+
 class Model:
     """What a scorer needs: the folder, the sizes of its parts and the discounts. All bounded; the arrays stay in files."""
 
@@ -202,6 +269,66 @@ class Model:
                     out[at] = c
             return out[back]
 
+        if self.order == 3:
+            triples = [tuple(mapped(self.folder, f"pair-{i}", k, t) for k, t in TRIPLES.items()) for i in range(self.pair_buckets)]
+        f = np.array([0.0, *self.f])
+
+        def third(rows, ids, keys_wanted, both, p):
+            """Order 3 over p, the probabilities of order 2. A token's context is the bigram of the token before it."""
+            u, back = np.unique(keys_wanted, return_inverse=True)
+            part = bigram_bucket(u, hot, self.pair_buckets)
+            order = np.argsort(part, kind="stable")
+            edge = np.searchsorted(part[order], np.arange(self.pair_buckets + 1))
+            start, end, follow = np.zeros(len(u), np.int64), np.zeros(len(u), np.int64), np.zeros((4, len(u)), np.int64)
+            for i in np.flatnonzero(edge[1:] > edge[:-1]):
+                at, a = order[edge[i] : edge[i + 1]], keys[i]
+                if not len(a):
+                    continue
+                place = np.minimum(np.searchsorted(a, u[at]), len(a) - 1)
+                hit = a[place] == u[at]
+                at, place = at[hit], place[hit]
+                _, _, _, _, base, code, xi, xt, x1, x2, x3 = triples[i]
+                # Where the bigram's stretch starts: its block's start and the numbers of the bigrams before it.
+                head = place // BLOCK * BLOCK
+                near = head[:, None] + np.arange(BLOCK)
+                over, most = many[i]
+                excess = np.append(0, np.cumsum(most - 255))
+                upto = lambda x: excess[np.searchsorted(over, x)]  # noqa: E731, B023
+                small = few[i][np.minimum(near, len(a) - 1)].astype(np.int64)
+                start[at] = base[place // BLOCK] + (small * (near < place[:, None])).sum(axis=1) + upto(place) - upto(head)
+                end[at] = start[at] + few[i][place] + upto(place + 1) - upto(place)
+                if len(code):
+                    x = code[place].astype(np.int64)
+                    large = x == 0xFFFF
+                    for j, (shift, long) in enumerate(zip((0, 4, 8, 12), (xt, x1, x2, x3), strict=True)):
+                        follow[j, at] = x >> shift & 15
+                        if large.any():
+                            follow[j, at[large]] = long[np.searchsorted(xi, place[large])]
+            which = np.full(len(ids), -1, np.int64)
+            which[both] = back
+            before = np.full(len(ids), -1, np.int64)
+            before[1:] = which[:-1]
+            before[np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))] = -1
+            total, n1, n2, n3 = np.where(before >= 0, follow[:, before], 0) if len(u) else np.zeros((4, len(ids)), np.int64)
+            c = np.zeros(len(ids), np.int64)
+            asked = np.flatnonzero((which >= 0) & (before >= 0) & (total > 0))
+            pair = which[asked]
+            word = (u[before[asked]] >> np.uint64(32)).astype("<u4")
+            order = np.argsort(part[pair], kind="stable")
+            edge = np.searchsorted(part[pair][order], np.arange(self.pair_buckets + 1))
+            for i in np.flatnonzero(edge[1:] > edge[:-1]):
+                at = order[edge[i] : edge[i + 1]]
+                a, count, ti, tc = triples[i][:4]
+                found = within(a, start[pair[at]], end[pair[at]], word[at])
+                at, found = at[found >= 0], found[found >= 0]
+                x = count[found].astype(np.int64)
+                over = x == 255
+                if over.any():
+                    x[over] = tc[np.searchsorted(ti, found[over])]
+                c[asked[at]] = x
+            seen = np.maximum(total, 1)
+            return np.where(total > 0, np.maximum(c - f[np.minimum(c, 3)], 0) / seen + (f[1] * n1 + f[2] * n2 + f[3] * n3) / seen * p, p)
+
         def score(rows, hashes, n):
             ids, count = words.look(hashes)
             (cont,) = of_ids(ids, "cont")
@@ -215,9 +342,12 @@ class Model:
             total, n1, n2, n3 = of_ids(before, "total", "n1", "n2", "n3")
             c = np.zeros(len(ids), np.int64)
             both = known & (before >= 0)
-            c[both] = pair_counts(before[both].astype(np.uint64) << np.uint64(32) | ids[both].astype(np.uint64))
+            wanted = before[both].astype(np.uint64) << np.uint64(32) | ids[both].astype(np.uint64)
+            c[both] = pair_counts(wanted)
             seen = np.maximum(total, 1)
             p = np.where(total > 0, np.maximum(c - d[np.minimum(c, 3)], 0) / seen + (d[1] * n1 + d[2] * n2 + d[3] * n3) / seen * low, low)
+            if self.order == 3:
+                p = third(rows, ids, wanted, both, p)
             base = np.log10((count + 1) / (self.n + self.v + 1))
             add = lambda x: np.bincount(rows, weights=x, minlength=n)
             return np.bincount(rows, minlength=n), np.bincount(rows, weights=count > 0, minlength=n).astype(np.int64), add(base), add(np.log10(p))
@@ -225,8 +355,10 @@ class Model:
         return score
 
 
-def train(texts: DataFrame) -> Model:
-    """Counts the bigrams of the table's one column."""
+def train(texts: DataFrame, order: int = 2) -> Model:
+    """Counts the bigrams, or with order 3 the triples, of the table's one column."""
+    if order not in (2, 3):
+        raise ValueError(f"order is 2 or 3, not {order}")
     spark = texts.sparkSession
     path = C.scratch(spark, "ngrams")
     folder = mounted(path)
@@ -277,7 +409,11 @@ def train(texts: DataFrame) -> Model:
     def merged(table: pa.Table) -> pa.Table:
         found = [C.unpack(x.as_buffer()) for x in table["blob"]]
         k, c = _totals(np.concatenate([x["k"] for x in found]), np.concatenate([x["c"] for x in found]))
-        i = table["bucket"][0].as_py()
+        out, tally = lower(table["bucket"][0].as_py(), k, c)
+        return pa.table({"bucket": pa.array([x[0] for x in out], pa.int32()), "blob": pa.array([x[1] for x in out], pa.binary()), "tally": pa.array([tally] + [None] * (len(out) - 1), pa.list_(pa.int64()))})
+
+    def lower(i: int, k: np.ndarray, c: np.ndarray):
+        """Stores a bucket's bigrams; what they say of their words, dealt out, and how many have each count."""
         large = np.flatnonzero(c >= 255)
         store(folder, f"pair-{i}", k=k, c=np.minimum(c, 255).astype("<u1"), mi=large.astype("<i8"), mc=c[large])
         before, own = (k >> np.uint64(32)).astype(np.int64), (k & np.uint64(0xFFFFFFFF)).astype(np.int64)
@@ -290,8 +426,46 @@ def train(texts: DataFrame) -> Model:
             a[x] = np.concatenate([add(left), zero])
         a["cont"] = np.concatenate([np.zeros(len(first), np.int64), cont])
         out = list(C.split_by(a["id"].astype(np.int64) // id_span, id_buckets, a))
-        tally = np.bincount(np.minimum(c, 5), minlength=5)[1:5].tolist()
-        return pa.table({"bucket": pa.array([x[0] for x in out], pa.int32()), "blob": pa.array([x[1] for x in out], pa.binary()), "tally": pa.array([tally] + [None] * (len(out) - 1), pa.list_(pa.int64()))})
+        return out, np.bincount(np.minimum(c, 5), minlength=5)[1:5].tolist()
+
+    def merged_triples(table: pa.Table) -> pa.Table:
+        found = [C.unpack(x.as_buffer()) for x in table["blob"]]
+        k, u, c = _grouped(*[np.concatenate([x[y] for x in found]) for y in ("k", "u", "c")])
+        i = table["bucket"][0].as_py()
+        first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+        start = (k >> np.uint64(32)) == np.uint64(start_id)
+        distinct = np.where(start[first], c[first], np.diff(np.append(first, len(k))))
+        out, tally = lower(i, k[first], distinct)
+        # A row's first bigram has no word before it; its stretch is as long as its count and never asked.
+        each = np.where(start, c, 1)
+        count = np.repeat(np.where(start, 0, c), each)
+        large = np.flatnonzero(count >= 255)
+        store(folder, f"pair-{i}", u=np.repeat(u, each), t=np.minimum(count, 255).astype("<u1"), ti=large.astype("<i8"), tc=count[large], base=(np.cumsum(distinct) - distinct)[::BLOCK].astype("<i8"))
+        k, u, c = k[~start], u[~start], c[~start]
+        context = u.astype(np.uint64) << np.uint64(32) | k >> np.uint64(32)
+        at = np.argsort(context, kind="stable")
+        context, x = context[at], c[at]
+        first = np.flatnonzero(np.append(True, context[1:] != context[:-1])) if len(context) else np.empty(0, np.int64)
+        add = lambda y: np.add.reduceat(y.astype(np.int64), first) if len(first) else np.empty(0, np.int64)
+        a = {"k": context[first], "n1": add(x == 1), "n2": add(x == 2), "n3": add(x >= 3), "more": add(np.where(x >= 3, x, 0))}
+        a = {y: z.astype(FOLLOWED[y]) for y, z in a.items()}
+        further = list(C.split_by(bigram_bucket(a["k"], hot, pair_buckets), pair_buckets, a))
+        tally += np.bincount(np.minimum(c, 5), minlength=5)[1:5].tolist()
+        both = out + further
+        return pa.table({"bucket": pa.array([x[0] for x in both], pa.int32()), "blob": pa.array([x[1] for x in both], pa.binary()), "tally": pa.array([tally] + [None] * (len(both) - 1), pa.list_(pa.int64())), "pairs": pa.array([False] * len(out) + [True] * len(further))})
+
+    def followed(table: pa.Table) -> pa.Table:
+        a = C.unpack_all([x.as_buffer() for x in table["blob"]], FOLLOWED)
+        i = table["bucket"][0].as_py()
+        k = mapped(folder, f"pair-{i}", "k", "<u8")
+        at = np.searchsorted(k, a["k"])
+        n1, n2, n3, more = (np.bincount(at, weights=a[x], minlength=len(k)).astype("<i8") for x in ("n1", "n2", "n3", "more"))
+        total = n1 + 2 * n2 + more
+        large = np.flatnonzero(total > 14)  # no part is over the total
+        code = total | n1 << 4 | n2 << 8 | n3 << 12
+        code[large] = 0xFFFF
+        store(folder, f"pair-{i}", x=code.astype("<u2"), xi=large.astype("<i8"), xt=total[large], x1=n1[large], x2=n2[large], x3=n3[large])
+        return pa.table({"contexts": pa.array([len(k)], pa.int64())})
 
     def contexts(table: pa.Table) -> pa.Table:
         a = C.unpack_all([x.as_buffer() for x in table["blob"]], CONTEXT)
@@ -303,16 +477,44 @@ def train(texts: DataFrame) -> Model:
         tops = [int((out["cont"] == 1).sum()), int((out["cont"] == 2).sum()), int((out["cont"] >= 3).sum()), int(out["cont"].sum())]
         return pa.table({"tally": pa.array([tally.tolist()], pa.list_(pa.int64())), "tops": pa.array([tops], pa.list_(pa.int64()))})
 
-    counted = texts.mapInArrow(_counted(pairs, lambda k: bigram_bucket(k, hot, pair_buckets), pair_buckets), BLOB)
-    merged_rows = C.written(counted.groupBy("bucket").applyInArrow(merged, BLOB + ", tally array<bigint>"), f"{path}/contexts.parquet")
-    C.release(spark)
-    sums = [F.coalesce(F.sum(F.col("tally")[i]), F.lit(0)) for i in range(4)]
+    def triples():
+        spans, known = B.Spans(), Words(folder, buckets, starts)
+
+        def step(b, off):
+            row, h = tokens(b, off, spans)
+            k = bigram_keys(row, known.look(h)[0], start_id)
+            return k, words_before(row, k, start_id + 1)
+
+        return step
+
+    sums = [F.coalesce(F.sum(F.get("tally", F.lit(i))), F.lit(0)) for i in range(8)]
+    bucket_of = lambda k: bigram_bucket(k, hot, pair_buckets)
+    if order == 2:
+        counted = texts.mapInArrow(_counted(pairs, bucket_of, pair_buckets), BLOB)
+        merged_rows = C.written(counted.groupBy("bucket").applyInArrow(merged, BLOB + ", tally array<bigint>"), f"{path}/contexts.parquet")
+        C.release(spark)
+    else:
+        turns = []
+        for turn in range(PASSES):
+            counted = texts.mapInArrow(_counted_triples(triples, bucket_of, pair_buckets, turn), BLOB)
+            turns.append(C.written(counted.groupBy("bucket").applyInArrow(merged_triples, BLOB + ", tally array<bigint>, pairs boolean"), f"{path}/contexts.parquet/turn={turn}"))
+            C.release(spark)
+        every = turns[0]
+        for t in turns[1:]:
+            every = every.unionByName(t)
+        for turn in range(PASSES):
+            every.filter(F.col("pairs") & (F.col("bucket") % PASSES == turn)).select("bucket", "blob").groupBy("bucket").applyInArrow(followed, "contexts bigint").agg(F.sum("contexts")).first()
+            C.release(spark)
+        merged_rows = every
     pair_tally = list(merged_rows.agg(*sums).first())
+    sums = sums[:4]
+    if order == 3:
+        merged_rows = merged_rows.filter(~F.col("pairs"))
     done = merged_rows.select("bucket", "blob").groupBy("bucket").applyInArrow(contexts, "tally array<bigint>, tops array<bigint>")
     last = list(done.agg(*sums, *[F.coalesce(F.sum(F.col("tops")[i]), F.lit(0)) for i in range(4)]).first())
     C.delete(spark, f"{path}/contexts.parquet")
-    d, e = discounts(pair_tally), discounts(last[:4])
-    return Model(folder=folder, path=path, buckets=buckets, starts=starts, v=v, n=n, start_id=start_id, hot=hot.tolist(), pair_buckets=pair_buckets, id_buckets=id_buckets, id_span=id_span, d=d, e=e, types=last[7], e_mass=sum(x * y for x, y in zip(e, last[4:7], strict=True)))
+    d, e, f = discounts(pair_tally[:4]), discounts(last[:4]), discounts(pair_tally[4:])
+    return Model(order=order, f=f, folder=folder, path=path, buckets=buckets, starts=starts, v=v, n=n, start_id=start_id, hot=hot.tolist(), pair_buckets=pair_buckets, id_buckets=id_buckets, id_span=id_span, d=d, e=e, types=last[7], e_mass=sum(x * y for x, y in zip(e, last[4:7], strict=True)))
 
 
 SCORES = "n_tokens bigint, n_known bigint, base_score double, score double"

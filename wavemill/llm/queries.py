@@ -53,12 +53,16 @@ def op5_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-def op6_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op6_ngram_lm(spark: SparkSession, sf_dir: str, order: int = 2) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    model = ngram_lm.train(docs.filter(remainder(7) != 2).select("text"))
+    model = ngram_lm.train(docs.filter(remainder(7) != 2).select("text"), order)
     return ngram_lm.score(docs, model).select("doc_id", (remainder(7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def op6_trigram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_ngram_lm(spark, sf_dir, 3)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents")).select(
         "doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.col("_weight").alias("weight"), F.col("_probability").alias("probability"), F.col("_kept").alias("kept")
@@ -90,6 +94,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_parity_join": op5_parity_join,
     "op6_ngram_lm": op6_ngram_lm,
+    "op6_trigram_lm": op6_trigram_lm,
     "op7_mixing": op7_mixing,
     "op8_language_id": op8_language_id,
     "op9_quality_fm": op9_quality_fm,
