@@ -83,9 +83,9 @@ class Voters:
         return out
 
 
-def mine(rows: list[tuple[np.ndarray, int]], most: int = 600, least: int = 3, purity: float = 0.995) -> np.ndarray:
+def mine(rows: list[tuple[np.ndarray, int]], least: int = 3, purity: float = 0.995) -> np.ndarray:
     """Features of toxic texts that chance doesn't explain: the log-likelihood ratio against the share of toxic rows is
-    over the logarithm of the number of features tried. The best `most`."""
+    over the logarithm of the number of features tried. All of them, the best first."""
     toxic, clean = ([x for x, y in rows if y == label] for label in (1, 0))
     if not toxic:
         return np.empty(0, np.uint64)
@@ -102,7 +102,7 @@ def mine(rows: list[tuple[np.ndarray, int]], most: int = 600, least: int = 3, pu
     balanced = n / (n + m * len(toxic) / max(1, len(clean)))
     good = np.flatnonzero((share > base) & (balanced >= purity) & (ratio >= np.log(max(1, len(u))) + 2))
     order = good[np.lexsort((u[good], -ratio[good]))]
-    return u[order[:most]]
+    return u[order]
 
 
 def label_model(fired: np.ndarray, start: np.ndarray, known: np.ndarray, rounds: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
