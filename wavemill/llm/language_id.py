@@ -4,8 +4,8 @@ Each language has a codeword of bits; one logistic classifier per bit reads the
 (one to three bytes of the lower-cased text). Decoding weights each bit's logistic loss by how often that classifier
 was right, and takes the codeword of least loss; a small lead over the next flags the text as ambiguous.
 
-It learns from a bounded sample: about `sample` documents in all, evenly over the `most_langs` most frequent languages,
-chosen by the hash of doc_id.
+It learns from a bounded sample: about `sample` documents in all, evenly over all languages, and a LANGS-th of that for each
+where there are more than LANGS, chosen by the hash of doc_id. The number of bits grows with the logarithm of the languages.
 Cases: null text or no letter: `und`, score 0; null languages aren't learned from; no labelled row: `und` for all; one
 language only: that one; repeated rows are predicted each; other columns are ignored.
 """
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from . import textbytes as B
 from .linear import Adam, sigmoid
 
-DIM, SCALE = 2048, 60.0
+DIM, SCALE, LANGS = 2048, 60.0, 256
 
 
 def shares(b: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -47,7 +47,8 @@ def codewords(n: int, bits: int) -> np.ndarray:
     rng, best, gap = np.random.default_rng(7), None, -1
     for _ in range(400):
         code = rng.choice(np.array([-1, 1]), (n, bits))
-        far = (bits - code @ code.T) // 2
+        near = code.astype(np.float32)
+        far = (bits - near @ near.T) // 2
         least = far[~np.eye(n, dtype=bool)].min() if n > 1 else bits
         if least > gap and (n == 1 or (np.abs(code.sum(axis=0)) < n).all()):
             best, gap = code, least
@@ -65,20 +66,20 @@ class Codes:
         if len(self.langs) == 1:
             return np.zeros(len(x), np.int64), np.ones(len(x)), np.ones(len(x))
         margin = (x * SCALE) @ self.w + self.b
-        loss = np.logaddexp(0, -margin[:, None, :] * self.code[None]) @ self.trust
+        loss = (np.logaddexp(0, -margin) * self.trust) @ (self.code > 0).T + (np.logaddexp(0, margin) * self.trust) @ (self.code < 0).T
         p = np.exp(loss.min(axis=1, keepdims=True) - loss)
         p /= p.sum(axis=1, keepdims=True)
         top = np.sort(p, axis=1)
         return p.argmax(axis=1), top[:, -1], top[:, -1] - top[:, -2]
 
 
-def learn(docs: DataFrame, of: Column, sample: int = 4000, bits: int = 15, most_langs: int = 256) -> Codes | None:
+def learn(docs: DataFrame, of: Column, sample: int = 4000, bits: int = 15) -> Codes | None:
     """From rows of docs (doc_id, text, lang) where `of` holds."""
     known = docs.filter(of & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()}
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not counts:
         return None
-    each = sample / len(counts)
+    each = sample / min(len(counts), LANGS)
     shares_of = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, each / n))])
     chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < shares_of[F.col("lang")] * (1 << 20)).select("doc_id", "lang", "text")
 
@@ -94,6 +95,7 @@ def learn(docs: DataFrame, of: Column, sample: int = 4000, bits: int = 15, most_
     langs = sorted({r["lang"] for r in rows})
     x = np.frombuffer(b"".join(r["x"] for r in rows), np.float32).reshape(-1, DIM) * np.float32(SCALE)
     y = np.searchsorted(langs, [r["lang"] for r in rows])
+    bits = max(bits, 4 * (len(langs) - 1).bit_length())
     code = codewords(len(langs), bits)
     target = code[y].astype(np.float32)
     weight = (1 / np.bincount(y)[y]).astype(np.float32)
