@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from wavemill.llm import language_id, toxicity
+from wavemill.llm import language_id, packing, toxicity
 
 
 def test_all_terms_that_pass_are_voters():
@@ -23,3 +23,11 @@ def test_more_than_256_languages(spark):
     assert len(codes.langs) == 300 and len({tuple(c) for c in codes.code}) == 300
     right = language_id.predict(docs, codes).join(docs.select("doc_id", "lang"), "doc_id").filter("lang = lang_pred").count()
     assert right > 0.9 * len(rows)
+
+
+def test_rounds_go_on_while_they_save(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, 0, 0, int(n), 0) for i, n in enumerate(rng.integers(200, 500, 1500))]
+    got = packing.pack(spark.createDataFrame(rows, packing.PIECES), each=12).toPandas()
+    assert sorted(got.doc_id) == list(range(1500)) and got.groupby("sequence_id").length.sum().max() <= 1024
+    assert got.sequence_id.nunique() < 566  # what three rounds leave

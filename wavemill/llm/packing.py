@@ -11,6 +11,7 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import json
 import zlib
 
@@ -122,22 +123,20 @@ def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np
     return bins, offsets, np.asarray(free, np.int64)
 
 
-def _pack(size: int, turn: int, last: bool):
+def _pack(size: int, turn: int):
     def run(table: pa.Table) -> pa.Table:
         order = np.lexsort((table["piece"].to_numpy(), table["doc_id"].to_numpy(zero_copy_only=False)))
         table = table.take(pa.array(order))
         lengths = table["length"].to_numpy()
         bins, offsets, free = best_fit(lengths, size)
         bound = lower_bound(lengths, size)
-        if last:
-            pool = np.zeros(len(free), bool)
-        elif len(free) > bound:
+        if len(free) > bound:
             pool = free > 0
         else:
             pool = (np.arange(len(free)) == np.argmax(free)) & (free > 0)
         part = table["part"][0].as_py()
         n = len(lengths)
-        return table.drop_columns(["part"]).append_column("sequence_id", pa.array(bins + ((turn << 56) | (part << 28)))).append_column("offset", pa.array(offsets)).append_column("bins", pa.array(np.full(n, len(free)))).append_column("bound", pa.array(np.full(n, bound))).append_column("pooled", pa.array(pool[bins]))
+        return table.drop_columns(["part"]).append_column("sequence_id", pa.array(bins + ((turn << 48) | (part << 28)))).append_column("offset", pa.array(offsets)).append_column("bins", pa.array(np.full(n, len(free)))).append_column("bound", pa.array(np.full(n, bound))).append_column("pooled", pa.array(pool[bins]))
 
     return run
 
@@ -146,16 +145,16 @@ def token_pieces(docs: DataFrame, tokenizer: str, pattern: str | None = None, en
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(_tokenised(tokenizer, pattern, end_id, size), PIECES)
 
 
-def pack(pieces: DataFrame, size: int = 1024, each: int = 50_000, rounds: int = 3) -> DataFrame:
+def pack(pieces: DataFrame, size: int = 1024, each: int = 50_000) -> DataFrame:
     """pieces with sequence_id and offset; bins and bound are those of the partition that packed them last."""
     spark = pieces.sparkSession
     path = C.scratch(spark, "packing")
     todo = C.written(pieces, f"{path}/pieces")
     done, before = None, None
-    for turn in range(rounds):
+    for turn in itertools.count():  # ends, as every round but the last has fewer sequences in its pool
         parts = max(1, -(-todo.count() // each))
         dealt = todo.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", F.lit(turn)), F.lit(parts)).cast("int"))
-        packed = C.written(dealt.groupBy("part").applyInArrow(_pack(size, turn, turn == rounds - 1), PACKED), f"{path}/{turn}")
+        packed = C.written(dealt.groupBy("part").applyInArrow(_pack(size, turn), PACKED), f"{path}/{turn}")
         if before is not None:
             now = packed.select("sequence_id").distinct().count()
             if now >= before[1]:  # it saved nothing: the pool stays as it was packed
