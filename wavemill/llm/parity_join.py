@@ -8,14 +8,16 @@ on (band, part, parity of the part) loses no pair. The part's parity is kept as
 hashes, which is a fingerprint of a sketch with one bit per possible hash. Empty parts agree by chance; they are joined
 on only where a set has 1 + z of them, as only then could they be all that agrees.
 
-Equal sets collapse to one representative first. Members of a part that agree are verified against the least of them,
-where small sketches don't rule it out; links make components. Groups that agree in a part but whose members are then in
-several components are compared across these, in blocks, by larger sketches; the pairs that these don't rule out are
-verified exactly, each document's closest first and then all left. So links that don't touch the least member are found,
-and no group emits all its pairs.
+Equal sets collapse to one representative. Members of a part that agree are verified against the least of them, where
+folded bit sketches don't rule it out; links make components. Groups that agree in a part but whose members are then in
+several components are compared across these by sketches, the largest component in blocks of its own; the pairs that these don't rule out are
+verified by their sets, each document's closest first and then all left. So links that don't touch the least member are found,
+and no group emits all its pairs. Sets are compared by 48 bits of each shingle's hash. Texts are read three times and shingled
+anew, as whole sets would take more of the disk than the texts.
 
 Cases: no words or null text: empty set, linked with nothing; fewer than n words: the whole sequence is the one
-shingle; a null doc_id has a null component; repeated rows share a component; an empty table gives an empty result.
+shingle; a null doc_id has a null component; repeated rows share a component; rows that share a doc_id but not the text
+are one document: what any of them links to, all reach; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +31,14 @@ from . import common as C
 from . import textbytes as B
 from .components import components
 
-KEY = {"key": "<u8", "doc": "<i8"}
+KEY = {"key": "<u4", "doc": "<i8"}
+LINKS = "a bigint, b bigint"
+PAIRS = "head bigint, _id bigint"
+LIST = 1000
+SETS = "_id bigint, elements binary, fine binary"
+BLOCK = "head bigint, i int, j int, _id bigint, label bigint, side boolean, n bigint"
+#: Bits of the sieve of documents whose sets are needed, at most: 8 MB.
+SIEVE = 1 << 26
 
 
 def shingles(b: np.ndarray, off: np.ndarray, spans: B.Spans, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,22 +84,44 @@ def bands(most: int, percent: int) -> list[tuple[int, int, int, int, int]]:
     return out
 
 
-def _set_sums(n: int):
-    """mapInArrow: size and a 128-bit fingerprint of each document's set."""
+def _bits(size: np.ndarray, percent: int, times: int) -> np.ndarray:
+    """Bits of the sketch of a set: `times` what linked sets of this size can differ in, or up to twice that: a power of two, 256 at least."""
+    most = np.maximum(1, times * (100 - percent) * size // percent)
+    return np.maximum(256, 1 << np.ceil(np.log2(most + 1)).astype(np.int64))
+
+
+def sketches(row: np.ndarray, h: np.ndarray, size: np.ndarray, percent: int, times: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of each set's parity sketch: an element toggles one bit."""
+    bits = _bits(size, percent, times)
+    off = np.concatenate([[0], np.cumsum(bits)])
+    at = off[row] + (B.fmix(h) & (bits - 1)[row].astype(np.uint64)).astype(np.int64)
+    flips = np.bincount(at, minlength=off[-1]) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little"), off // 8
+
+
+def _sketch(elements: np.ndarray, percent: int) -> bytes:
+    return sketches(np.zeros(len(elements), np.int64), elements, np.array([len(elements)]), percent)[0].tobytes()
+
+
+def _binary(data: np.ndarray, off: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _profiles(n: int, percent: int):
+    """mapInArrow: size, a 128-bit fingerprint and the sketch of each document's set."""
 
     def run(batches):
         spans = B.Spans()
         for batch in batches:
-            size, s1, s2 = ([] for _ in range(3))
             for i, j, b, off in B.chunks(batch.column(1)):
                 row, h = shingles(b, off, spans, n)
-                size.append(np.bincount(row, minlength=j - i))
+                size = np.bincount(row, minlength=j - i)
                 edge = np.searchsorted(row, np.arange(j - i + 1))
-                for out, salt in ((s1, 1), (s2, 2)):
+                sums = []
+                for salt in (1, 2):
                     total = np.concatenate([[np.uint64(0)], np.cumsum(B.fmix(h + np.uint64(B.BASES[1] * salt & (1 << 64) - 1)))])
-                    out.append((total[edge[1:]] - total[edge[:-1]]).view(np.int64))
-            cat = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(cat(x), pa.int64()) for x in (size, s1, s2)]], names=["_id", "n", "s1", "s2"])
+                    sums.append(pa.array((total[edge[1:]] - total[edge[:-1]]).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(size, pa.int64()), *sums, _binary(*sketches(row, h, size, percent))], names=["_id", "n", "s1", "s2", "sketch"])
 
     return run
 
@@ -100,7 +131,7 @@ def _part_keys(n: int, percent: int, buckets: int):
 
     def dealt(keys, docs):
         key, doc = np.concatenate(keys), np.concatenate(docs)
-        rows = list(C.split_by((key % np.uint64(buckets)).astype(np.int64), buckets, {"key": key, "doc": doc}))
+        rows = list(C.split_by((key % np.uint64(buckets)).astype(np.int64), buckets, {"key": (key >> np.uint64(32)).astype("<u4"), "doc": doc}))
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "blob"])
 
     def run(batches):
@@ -151,45 +182,96 @@ def _part_keys(n: int, percent: int, buckets: int):
 
 
 def _agreeing(table: pa.Table) -> pa.Table:
-    """One bucket: (group, doc) for the documents that agree in a part; equal groups once."""
+    """One bucket: (least document, others) of those that agree in a part, equal lists once; a list holds LIST others at most, and further
+    rows with the same least one hold the rest."""
     a = C.unpack_all([x.as_buffer() for x in table["blob"]], KEY)
     order = np.lexsort((a["doc"], a["key"]))
     key, doc = a["key"][order], a["doc"][order]
-    del a
+    del a, order
     keep = np.ones(len(key), bool)
     keep[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
     key, doc = key[keep], doc[keep]
     start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
     size = np.diff(np.append(start, len(key)))
-    start, size = start[size > 1], size[size > 1]
-    if not len(start):
-        return pa.table({"gid": pa.array([], pa.int64()), "_id": pa.array([], pa.int64())})
-    at = np.repeat(start, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    gid = np.add.reduceat(B.fmix(doc[at].view(np.uint64)), np.cumsum(size) - size)
-    _, once = np.unique(gid, return_index=True)
-    start, size, gid = start[once], size[once], gid[once]
-    at = np.repeat(start, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    return pa.table({"gid": np.repeat(gid, size).view(np.int64), "_id": doc[at]})
+    start, size = start[size > 1], size[size > 1] - 1
+    lists = -(-size // LIST)
+    head = np.repeat(doc[start], lists)
+    inner = np.arange(len(head)) - np.repeat(np.cumsum(lists) - lists, lists)
+    first = np.repeat(start + 1, lists) + inner * LIST
+    size = np.minimum(np.repeat(size, lists) - inner * LIST, LIST)
+    if not len(first):
+        return pa.table({"head": pa.array([], pa.int64()), "others": pa.array([], pa.list_(pa.int64()))})
+    total = np.concatenate([[np.uint64(0)], np.cumsum(B.fmix(doc.view(np.uint64)))])
+    _, once = np.unique(B.fmix(head.view(np.uint64)) ^ (total[first + size] - total[first]), return_index=True)
+    head, first, size = head[once], first[once], size[once]
+    at = np.repeat(first, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    others = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(doc[at]))
+    return pa.table({"head": head, "others": others})
+
+
+def _sieve(ids: DataFrame, n: int) -> np.ndarray | None:
+    """A Bloom filter of n ids, two hashes each; None where it would pass nearly all."""
+    bits = 1 << max(16, (16 * n).bit_length())
+    if bits > SIEVE:
+        bits = SIEVE
+        if n * 8 > bits:
+            return None
+    at = F.explode(F.array(*[F.pmod(F.xxhash64("_id", F.lit(salt)), F.lit(bits)) for salt in (1, 2)]))
+    words = ids.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(bits >> 6, np.int64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return out
 
 
 def _sets(n: int, percent: int):
-    """mapInArrow: each document's set, 48 bits an element, sorted; and its sketch."""
+    """mapInArrow: each document's set, 48 bits an element, sorted, and a sketch of eight times the bits. A task gives repeated rows once."""
 
     def run(batches):
-        spans = B.Spans()
+        spans, seen = B.Spans(), set()
         for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
             for i, j, b, off in B.chunks(batch.column(1)):
                 row, h = shingles(b, off, spans, n)
-                raw = np.ascontiguousarray((h >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
                 edge = np.searchsorted(row, np.arange(j - i + 1))
-                elements = [raw[6 * edge[x] : 6 * edge[x + 1]] for x in range(j - i)]
-                sketches = [_sketch(h[edge[x] : edge[x + 1]], percent) for x in range(j - i)]
-                small = [_halved(x, max(32, len(x) // 8)).tobytes() for x in sketches]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(elements, pa.binary()), pa.array(sketches, pa.binary()), pa.array(small, pa.binary())], names=["_id", "elements", "sketch", "small"])
+                total = np.concatenate([[np.uint64(0)], np.cumsum(B.fmix(h))])
+                marks = list(zip(ids[i:j].tolist(), (total[edge[1:]] - total[edge[:-1]]).tolist(), strict=True))
+                fresh = []
+                for x, mark in enumerate(marks):
+                    if mark not in seen:
+                        seen.add(mark)
+                        fresh.append(x)
+                raw = np.ascontiguousarray((h >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+                elements = [raw[6 * edge[x] : 6 * edge[x + 1]] for x in fresh]
+                at = pa.array(fresh, pa.int64())
+                fine = _binary(*sketches(row, h, np.diff(edge), percent, 32)).take(at)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(at), pa.array(elements, pa.binary()), fine], names=["_id", "elements", "fine"])
 
     return run
 
 
+def _sets_of(docs: DataFrame, wanted: DataFrame, n: int, percent: int) -> DataFrame:
+    """The sets of the wanted documents and perhaps of a few others. A sieve of bounded size passes over the others' texts where they
+    are read; past its size texts are joined with the ids."""
+    sieve = _sieve(wanted, wanted.count())
+    if sieve is None:
+        return docs.join(wanted, "_id", "left_semi").mapInArrow(_sets(n, percent), SETS)
+    bits = F.lit(len(sieve) << 6)
+    places = docs.select("_id", "_text", *[F.pmod(F.xxhash64("_id", F.lit(salt)), bits).alias(f"_at{salt}") for salt in (1, 2)])
+    shared = docs.sparkSession.sparkContext.broadcast(sieve)
+
+    def run(batches):
+        has = lambda at: shared.value[at >> 6] >> (at & 63) & 1 == 1
+
+        def passed():
+            for batch in batches:
+                keep = has(batch.column(2).to_numpy()) & has(batch.column(3).to_numpy())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["_id", "_text"]).filter(pa.array(keep))
+
+        yield from _sets(n, percent)(passed())
+
+    return places.mapInArrow(run, SETS)
+
+
 def _elements(raw: list) -> tuple[np.ndarray, np.ndarray]:
     """(elements of all sets, offsets)."""
     size = np.array([len(x) // 6 for x in raw], np.int64)
@@ -207,90 +289,96 @@ def _common(of: np.ndarray, x: np.ndarray, off: np.ndarray) -> np.ndarray:
     return total[off[1:]] - total[off[:-1]]
 
 
-LINKS = "a bigint, b bigint"
-
-
 def _link_table(a, b) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _against_least(percent: int):
-    """Verifies members against their group's least document."""
+def _against_head(percent: int):
+    """Verifies members against their head; a head with several texts has a set for each."""
 
     def run(table: pa.Table) -> pa.Table:
-        lead, ids = table["lead"].to_numpy(), table["_id"].to_numpy()
+        lead, ids = table["lead"].to_numpy(zero_copy_only=False), table["_id"].to_numpy()
         raw = table["elements"].to_pylist()
-        first = int(np.flatnonzero(lead)[0])
-        of, _ = _elements([raw[first]])
-        at = np.flatnonzero(~lead)
+        heads, at = np.flatnonzero(lead), np.flatnonzero(~lead)
         x, off = _elements([raw[i] for i in at])
-        both = _common(of, x, off)
-        union = len(of) + np.diff(off) - both
-        linked = at[100 * both >= percent * union]
-        return _link_table(np.full(len(linked), ids[first]), ids[linked])
+        linked = np.zeros(len(at), bool)
+        for text in {raw[i] for i in heads}:
+            of, _ = _elements([text])
+            both = _common(of, x, off)
+            linked |= 100 * both >= percent * (len(of) + np.diff(off) - both)
+        out = ids[at[linked]]
+        return pa.table({"a": pa.array(np.full(len(out), ids[heads[0]] if len(heads) else 0), pa.int64()), "b": pa.array(out, pa.int64())})
 
     return run
 
 
-def _sketch(elements: np.ndarray, percent: int) -> bytes:
-    """A parity sketch: each element toggles one bit; of 32 times as many bits as linked sets of this size can differ in, rounded up to a power of two."""
-    bits = 1 << max(8, int(32 * (100 - percent) * len(elements) // percent).bit_length())
-    flips = np.bincount((B.fmix(elements) % np.uint64(bits)).astype(np.int64), minlength=bits)
-    return np.packbits((flips & 1).astype(np.uint8), bitorder="little").tobytes()
-
-
-def _halved(raw: bytes, least: int) -> np.ndarray:
-    """A sketch of at most `least` bytes: halves meet by exclusive or, which is the sketch of half the bits."""
-    a = np.frombuffer(raw, np.uint64)
-    while len(a) * 8 > least:
-        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+def _halved(a: np.ndarray, least: int) -> np.ndarray:
+    """Sketches (rows of 64-bit words) brought to `least` bytes: halves meet by exclusive or, which is the sketch of half the bits."""
+    while a.shape[1] * 8 > least:
+        a = a[:, : a.shape[1] // 2] ^ a[:, a.shape[1] // 2 :]
     return a
 
 
 def _folded(raw: list[bytes]) -> np.ndarray:
     """Sketches brought to the smallest size among them."""
     least = min(len(x) for x in raw)
-    return np.stack([_halved(x, least) for x in raw])
+    out = np.empty((len(raw), least // 8), np.uint64)
+    size = np.array([len(x) for x in raw])
+    for length in np.unique(size):
+        at = np.flatnonzero(size == length)
+        out[at] = _halved(np.frombuffer(b"".join(raw[i] for i in at), np.uint64).reshape(len(at), -1), least)
+    return out
+
+
+def distances(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """The Hamming distance of each two sketches, at the shorter one's length."""
+    size = [np.diff(B.buffers(x)[1]) for x in (a, b)]
+    out = np.zeros(len(a), np.int64)
+    for la, lb in set(zip(size[0].tolist(), size[1].tolist(), strict=True)):
+        at = np.flatnonzero((size[0] == la) & (size[1] == lb))
+        x, y = (B.buffers(c.take(pa.array(at)))[0].view(np.uint64).reshape(len(at), -1) for c in (a, b))
+        out[at] = np.bitwise_count(_halved(x, min(la, lb)) ^ _halved(y, min(la, lb))).sum(axis=1)
+    return out
 
 
 def _plausible(percent: int):
-    """mapInArrow: pairs whose small sketches don't rule out a link."""
+    """mapInArrow: pairs (head, _id, least size, two sketches) whose sketches don't rule out a link."""
 
     def run(batches):
         for batch in batches:
-            size = np.minimum(batch.column(2).to_numpy(), batch.column(3).to_numpy())
-            keep = np.zeros(len(size), bool)
-            for i, (a, b) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
-                a, b = a.as_buffer(), b.as_buffer()
-                least = min(a.size, b.size)
-                far = int(np.bitwise_count(_halved(a, least) ^ _halved(b, least)).sum())
-                keep[i] = far * percent <= (100 - percent) * size[i]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["head", "_id"])
+            keep = pa.array(distances(batch.column(3), batch.column(4)) * percent <= (100 - percent) * batch.column(2).to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["head", "_id"])
 
     return run
 
 
+def _possible(table: pa.Table, percent: int):
+    """(document, others) of one pair of blocks that are in different components yet and whose sketches don't rule out a link, by
+    place; and the distances. Documents of the largest component are only looked at from the others."""
+    label, side, size = (table[x].to_numpy(zero_copy_only=False) for x in ("label", "side", "n"))
+    sketch = _folded(table["sketch"].to_pylist())
+    _, of, count = np.unique(label, return_inverse=True, return_counts=True)
+    rare = of != count.argmax()
+    both = side.any()
+    for i in np.flatnonzero(rare):
+        ok = (label != label[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
+        if both:  # two blocks: only pairs across
+            ok &= side != side[i]
+        j = np.flatnonzero(ok)
+        if len(j):
+            far = np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1).astype(np.int64)
+            passed = far * percent <= (100 - percent) * np.minimum(size[i], size[j])
+            if passed.any():
+                yield i, j[passed], far[passed]
+
+
 def _near_pairs(percent: int, closest: bool):
-    """Pairs of one block pair that are in different components yet and whose sketches don't rule out a link. Documents of
-    the largest component are only looked at from the others. closest: only each document's closest."""
+    """The possible pairs of one pair of blocks; closest: only each document's closest."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, label, side, size = (table[x].to_numpy(zero_copy_only=False) for x in ("_id", "label", "side", "n"))
-        sketch, away = _folded(table["sketch"].to_pylist()), 100 - percent
-        _, of, count = np.unique(label, return_inverse=True, return_counts=True)
-        rare = of != count.argmax()
-        both = side.any()
-        a, b = [], []
-        for i in np.flatnonzero(rare):
-            ok = (label != label[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
-            if both:  # two blocks: only pairs across
-                ok &= side != side[i]
-            j = np.flatnonzero(ok if closest else ok & (~rare | (np.arange(len(ids)) > i)))
-            if not len(j):
-                continue
-            far = np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1).astype(np.int64)
-            passed = far * percent <= away * np.minimum(size[i], size[j])
-            j = j[passed] if not closest or not passed.any() else j[[np.where(passed, far, far.max() + 1).argmin()]]
+        ids, a, b = table["_id"].to_numpy(), [], []
+        for i, j, far in _possible(table, percent):
+            j = j[[far.argmin()]] if closest else j
             a.append(np.minimum(ids[j], ids[i]))
             b.append(np.maximum(ids[j], ids[i]))
         cat = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
@@ -299,13 +387,53 @@ def _near_pairs(percent: int, closest: bool):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The links among pairs (head, _id). A head with many partners has its set sent to several tasks."""
-    spread = pairs.groupBy("head").agg(F.ceil(F.count("*") / 1000).cast("int").alias("salts"))
-    members = pairs.join(spread, "head").select("_id", "head", F.pmod(F.xxhash64("_id"), F.col("salts")).cast("int").alias("salt"), F.lit(False).alias("lead"))
-    heads = spread.select(F.col("head").alias("_id"), "head", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("lead"))
-    needed = members.unionByName(heads).join(sets.select("_id", "elements"), "_id")
-    return needed.groupBy("head", "salt").applyInArrow(_against_least(percent), LINKS)
+def _in_doubt(percent: int):
+    """The documents of one pair of blocks that are in a possible pair."""
+
+    def run(table: pa.Table) -> pa.Table:
+        some = np.zeros(len(table), bool)
+        for i, j, _ in _possible(table, percent):
+            some[i] = some[j] = True
+        return table.drop_columns(["sketch"]).filter(pa.array(some))
+
+    return run
+
+
+def _dealt(rows: DataFrame, heads: DataFrame, on: tuple[str, ...] = ("head",), each: int = 250) -> tuple[DataFrame, DataFrame]:
+    """rows and heads, which share the columns `on`, with a salt: the rows of a head with over `each` of them are dealt to several salts,
+    and the head goes to all. Hot heads have over a ten-thousandth of the rows, so that there are 10,000 at most to broadcast."""
+    counts = rows.groupBy(*on).agg(F.count("*").alias("rows"))
+    most = max(each, rows.count() // 10_000)
+    hot = F.broadcast(counts.filter(F.col("rows") > most).select(*on, F.ceil(F.col("rows") / each).cast("int").alias("salts")))
+    salts = F.coalesce("salts", F.lit(1))
+    dealt = rows.join(hot, [*on], "left").withColumn("salt", F.pmod(F.xxhash64("_id"), salts).cast("int")).drop("salts")
+    return dealt, heads.join(hot, [*on], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, many: bool = False) -> DataFrame:
+    """The links among pairs (head, _id). many: most sets are in a pair, so both sides are shuffled, however few there are."""
+    members, heads = _dealt(pairs, pairs.select("head").distinct())
+    members = members.select("_id", "head", "salt", F.lit(False).alias("lead"))
+    heads = heads.select(F.col("head").alias("_id"), "head", "salt", F.lit(True).alias("lead"))
+    needed = members.unionByName(heads)
+    needed = (needed.hint("shuffle_merge") if many else needed).join(sets.select("_id", "elements"), "_id")
+    return needed.groupBy("head", "salt").applyInArrow(_against_head(percent), LINKS)
+
+
+def _split(led: DataFrame, labels: DataFrame, sets: DataFrame, block: int) -> DataFrame:
+    """The blocks (head, i, j) of the groups whose members are in several components. Members of the largest component are in
+    blocks of their own, which meet those of the others only."""
+    tagged = led.join(labels.withColumnRenamed("node", "_id"), "_id", "left").withColumn("label", F.coalesce("label", "_id"))
+    by_label = tagged.groupBy("head", "label").agg(F.count("*").alias("c"))
+    split = by_label.groupBy("head").agg(F.max_by("label", F.struct("c", "label")).alias("top"), F.max("c").alias("many"), F.sum("c").alias("all"), F.count("*").alias("labels"))
+    split = split.filter((F.col("labels") > 1) & (F.col("all") > 2))
+    split = split.select("head", "top", F.ceil((F.col("all") - F.col("many")) / block).cast("int").alias("few"), F.ceil(F.col("many") / block).cast("int").alias("main"))
+    rows, heads = _dealt(tagged, split)
+    left = rows.join(heads, ["head", "salt"]).withColumn("rare", F.col("label") != F.col("top"))
+    own = F.when(F.col("rare"), F.pmod(F.xxhash64("_id"), F.col("few"))).otherwise(F.col("few") + F.pmod(F.xxhash64("_id"), F.col("main"))).cast("int")
+    left = left.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.when(F.col("rare"), F.col("few") + F.col("main")).otherwise(F.col("few")) - 1)))
+    left = left.select("head", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "_id", "label", (F.col("own") > F.col("with")).alias("side"))
+    return left.join(sets, "_id").select("head", "i", "j", "_id", "label", "side", "n", "sketch")
 
 
 def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, block: int = 1024) -> DataFrame:
@@ -313,58 +441,71 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, block: in
     spark = docs.sparkSession
     path = C.scratch(spark, "jaccard")
     docs = docs.select(docs["doc_id"].cast("long").alias("_id"), docs["text"].alias("_text"))
-    base = C.written(docs.mapInArrow(_set_sums(n), "_id bigint, n bigint, s1 bigint, s2 bigint"), f"{path}/base")
-    known = base.filter("n > 0 and _id is not null")
-    reps = known.groupBy("s1", "s2", "n").agg(F.min("_id").alias("rep"))
-    base = C.written(base.join(reps, ["s1", "s2", "n"], "left").select("_id", "n", F.coalesce("rep", "_id").alias("rep")), f"{path}/reps")
     named = docs.filter("_id is not null")
+    base = C.written(docs.mapInArrow(_profiles(n, percent), "_id bigint, n bigint, s1 bigint, s2 bigint, sketch binary"), f"{path}/profiles")
+    reps = base.filter("n > 0 and _id is not null").groupBy("s1", "s2", "n").agg(F.min("_id").alias("rep"))
+    rows, classes = _dealt(base, reps, ("s1", "s2", "n"))
+    base = rows.join(classes, ["s1", "s2", "n", "salt"], "left").select("_id", "n", F.coalesce("rep", "_id").alias("rep"), "sketch")
+    base = C.written(base, f"{path}/base")
+    C.delete(spark, f"{path}/profiles")
     buckets = C.buckets_for(spark, base.count(), 8192)
     keys = named.mapInArrow(_part_keys(n, percent, buckets), "bucket int, blob binary")
-    found = keys.groupBy("bucket").applyInArrow(_agreeing, "gid bigint, _id bigint").distinct()
-    rep_of = base.filter("n > 0 and _id is not null").select("_id", "n", "rep").distinct()
-    groups = C.written(found.join(rep_of, "_id").select("gid", F.col("rep").alias("_id"), "n").distinct(), f"{path}/groups")
+    lists = keys.groupBy("bucket").applyInArrow(_agreeing, "head bigint, others array<bigint>").distinct()
+    found = C.written(lists.select("head", F.explode("others").alias("_id")).distinct(), f"{path}/found")
     C.release(spark)
 
-    wanted = groups.select("_id").distinct()
-    sets = C.written(named.join(wanted, "_id", "left_semi").mapInArrow(_sets(n, percent), "_id bigint, elements binary, sketch binary, small binary"), f"{path}/sets")
+    # From documents to representatives. Every pair that agrees in a part is in the group of some head.
+    full = base.filter("n > 0 and _id is not null")
+    rep_of = full.select("_id", "rep", "n").distinct()
+    rows, heads = _dealt(found, found.select("head").distinct())
+    heads = heads.join(rep_of.select(F.col("_id").alias("head"), F.col("rep").alias("lead"), F.col("n").alias("lead_n")), "head")
+    named_rows = rows.join(rep_of, "_id").select("head", "salt", F.col("rep").alias("_id"), "n")
+    members = named_rows.join(heads, ["head", "salt"]).select(F.col("lead").alias("head"), F.col("lead_n").alias("head_n"), "_id", "n")
+    members = C.written(members.filter("head <> _id").distinct(), f"{path}/members")
+    C.release(spark)
+    own = members.select("head", F.col("head").alias("_id"), F.col("head_n").alias("n")).distinct()
+    led = members.select("head", "_id", "n").distinct().unionByName(own)
+    wanted = led.select("_id").distinct()
+    sets = C.written(_sets_of(named, wanted, n, percent), f"{path}/sets")
+    small = C.written(full.filter("_id = rep").select("_id", "n", "sketch").distinct().join(wanted, "_id", "left_semi"), f"{path}/sketches")
     C.release(spark)
 
-    # Against the least member of each group.
-    least = groups.groupBy("gid").agg(F.min(F.struct("_id", "n")).alias("least"))
-    pairs = groups.join(least, "gid").select(F.col("least._id").alias("head"), F.col("least.n").alias("head_n"), "_id", "n")
-    pairs = pairs.filter(F.col("head") != F.col("_id")).filter(100 * F.least("n", "head_n") >= percent * F.greatest("n", "head_n")).distinct()
-    pairs = C.written(pairs, f"{path}/pairs")
-    small = sets.select("_id", "small")
-    both = pairs.join(small, "_id").join(small.select(F.col("_id").alias("head"), F.col("small").alias("head_small")), "head")
-    likely = both.select("head", "_id", "n", "head_n", "small", "head_small").mapInArrow(_plausible(percent), "head bigint, _id bigint")
-    likely = C.written(likely.distinct(), f"{path}/likely")
-    pairs = pairs.select("head", "_id")
+    # Against the head of each group, where sketches don't rule a link out.
+    pairs = members.filter(100 * F.least("n", "head_n") >= percent * F.greatest("n", "head_n")).select("head", "_id", F.least("n", "head_n").alias("least"))
+    rows, heads = _dealt(pairs, pairs.select("head").distinct())
+    heads = heads.join(small.select(F.col("_id").alias("head"), F.col("sketch").alias("head_sketch")), "head")
+    both = rows.join(small.select("_id", "sketch"), "_id").join(heads, ["head", "salt"])
+    likely = C.written(both.select("head", "_id", "least", "sketch", "head_sketch").mapInArrow(_plausible(percent), PAIRS).distinct(), f"{path}/likely")
+    pairs = pairs.select("head", "_id").distinct()
     C.release(spark)
+    # Rows of one id with several texts are one document.
+    several = rep_of.groupBy("_id").agg(F.min("rep").alias("a"), F.count("*").alias("c")).filter("c > 1").select("_id", "a")
+    links = C.written(several.join(rep_of.select("_id", F.col("rep").alias("b")), "_id").filter("a <> b").select("a", "b"), f"{path}/links")
     # First each document against one head; of its other pairs only those that are in different components still.
-    links = C.written(_verified(likely.groupBy("_id").agg(F.min("head").alias("head")).select("head", "_id"), sets, percent), f"{path}/links0")
+    links = links.unionByName(C.written(_verified(likely.groupBy("_id").agg(F.min("head").alias("head")).select("head", "_id"), sets, percent, many=True), f"{path}/links0"))
     C.release(spark)
     labels = components(links)
     of_head = labels.select(F.col("node").alias("head"), F.col("label").alias("head_label"))
-    apart = likely.join(labels.withColumnRenamed("node", "_id"), "_id", "left").join(of_head, "head", "left")
+    rows, heads = _dealt(likely, likely.select("head").distinct())
+    apart = rows.join(labels.withColumnRenamed("node", "_id"), "_id", "left").join(heads.join(of_head, "head", "left"), ["head", "salt"])
     apart = apart.filter(F.coalesce("label", "_id") != F.coalesce("head_label", "head")).select("head", "_id")
-    more = C.written(_verified(apart, sets, percent), f"{path}/links1")
+    more = C.written(_verified(C.written(apart, f"{path}/apart"), sets, percent), f"{path}/links1")
     C.release(spark)
     if more.limit(1).count():
         links = links.unionByName(more)
         labels = components(links)
 
-    # Groups with one least member are one from here on: every pair that agrees in a part is still in a group. Where members
-    # are in several components: first each document's closest, then all that may link yet.
-    led = C.written(groups.join(least.select("gid", F.col("least._id").alias("head")), "gid").select("head", "_id", "n").distinct(), f"{path}/led")
+    # Where members of a group are in several components: first each document's closest, then all that may link yet, by sketches
+    # of eight times the bits, which only those get that the small ones leave in doubt.
+    led = C.written(led.select("head", "_id"), f"{path}/led")
     for turn, closest in enumerate((True, False)):
-        tagged = led.join(labels.withColumnRenamed("node", "_id"), "_id", "left").withColumn("label", F.coalesce("label", "_id"))
-        split = tagged.groupBy("head").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members")).filter("low != high and members > 2")
-        split = split.withColumn("blocks", F.ceil(F.col("members") / block).cast("int")).select("head", "blocks")
-        left = tagged.join(split, "head").select("head", "_id", "n", "label", "blocks", F.pmod(F.xxhash64("_id"), F.col("blocks")).cast("int").alias("own"))
-        left = left.select("head", "_id", "n", "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-        left = left.select("head", "_id", "n", "label", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), (F.col("own") > F.col("with")).alias("side"))
-        near = left.join(sets.select("_id", "sketch"), "_id").groupBy("head", "i", "j").applyInArrow(_near_pairs(percent, closest), "head bigint, _id bigint").distinct()
+        blocks = _split(led, labels, small, block)
+        if not closest:
+            doubt = C.written(blocks.groupBy("head", "i", "j").applyInArrow(_in_doubt(percent), BLOCK), f"{path}/doubt")
+            blocks = doubt.join(sets.select("_id", F.col("fine").alias("sketch")), "_id").select(*blocks.columns)
+        near = blocks.groupBy("head", "i", "j").applyInArrow(_near_pairs(percent, closest), PAIRS).distinct()
         near = C.written(near.join(pairs, ["head", "_id"], "left_anti"), f"{path}/near{turn}")
+        C.release(spark)
         more = C.written(_verified(near, sets, percent), f"{path}/more{turn}")
         C.release(spark)
         pairs = pairs.unionByName(near)
@@ -372,6 +513,6 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, block: in
             links = links.unionByName(more)
             labels = components(links)
     out = base.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    for x in ("base", "pairs", "likely", "groups", "sets", "near0", "near1", "led"):
+    for x in ("found", "members", "sets", "sketches", "likely", "apart", "led", "near0", "near1", "doubt"):
         C.delete(spark, f"{path}/{x}")
     return out.select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("rep").alias("representative"), F.coalesce("label", "rep").alias("component_id"))
