@@ -76,6 +76,14 @@ def real_id(c: str = "_id"):
 NULL_ID = -(1 << 63)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as no column of df begins with."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def pack(**arrays: np.ndarray) -> bytes:
     """Arrays of one length, column by column, as one compressed Arrow stream."""
     sink = pa.BufferOutputStream()

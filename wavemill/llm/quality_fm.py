@@ -4,7 +4,7 @@ score = sigmoid(b + x w + 1/2 sum_f ((x v_f)^2 - x^2 v_f^2)): all pairwise inter
 the sum-of-squares identity. x holds the statistics (each in bins and as a number), the text's length, and the shares of hashed words.
 
 It learns from a bounded sample of labelled rows: about `sample`, chosen by the hash of doc_id.
-Cases: null text is empty and is scored; null labels aren't learned from; without both labels among the learned rows
+Cases: null text is empty and is scored; null labels aren't learned from; of several labels of one document the least counts; without both labels among the learned rows
 the score is their share of label 1, 0.5 without any; repeated rows are scored each; other columns are ignored.
 """
 
@@ -142,7 +142,7 @@ def fit(stats: np.ndarray, hashed: np.ndarray, y: np.ndarray, epochs: int = 30,
 
 def learn(docs: DataFrame, labels: DataFrame, of: Column, sample: int = 12_000):
     """From rows of docs (doc_id, text) with a label (doc_id, quality) where `of` holds of the doc_id."""
-    known = labels.select("doc_id", "quality").filter(of & F.col("quality").isNotNull()).dropDuplicates(["doc_id"])
+    known = labels.select("doc_id", "quality").filter(of & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     n = known.count()
     chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < (1 << 20) * min(1.0, sample / max(1, n)))
 
@@ -160,9 +160,9 @@ def learn(docs: DataFrame, labels: DataFrame, of: Column, sample: int = 12_000):
     return fit(stats, hashed, np.array([r["y"] for r in rows], np.int64))
 
 
-def scores(docs: DataFrame, model) -> DataFrame:
-    """All columns of docs, and _score, which replaces one of that name."""
-    docs = docs.drop("_score")
+def scores(docs: DataFrame, model, score: str = "_score") -> DataFrame:
+    """All columns of docs, and the score, which replaces a column of its name."""
+    docs = docs.drop(score)
     names = docs.columns
 
     def run(batches):
@@ -171,7 +171,7 @@ def scores(docs: DataFrame, model) -> DataFrame:
             out = [np.empty(0)]
             for _, _, b, off in B.chunks(batch.column(names.index("text"))):
                 out.append(model.score(*statistics(b, off, spans)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out))], names=[*names, "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out))], names=[*names, score])
 
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields], "_score double"])
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields], f"`{score}` double"])
     return docs.mapInArrow(run, schema)

@@ -15,8 +15,9 @@ log2(n) times. Arrays are ordered by the anchor's hash rather than by its letter
 and buckets stay even whatever the text. Repeats inside one task collapse before the shuffle, so that no bucket gets
 more of a string than there are tasks.
 
-Cases: null text is empty; texts under `length` bytes stay whole; a null doc_id counts as the least id; repeated rows
-(same id, same text) don't remove each other; an empty table gives an empty result; other columns are ignored.
+Cases: null text is empty; texts under `length` bytes stay whole; a null doc_id counts as the least id; rows that share a
+doc_id but not the text are documents of their own, in the order of a hash of the text; repeated rows (same id, same text) are one
+document and don't remove each other; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,9 +31,9 @@ from . import common as C
 from . import textbytes as B
 
 LENGTH, K = 100, 24
-ENTRY = {"kh": "<u8", "sg": "<u8", "doc": "<i8", "lo": "<u4", "n": "<u4"}
-RUN = {"doc": "<i8", "lo": "<u4", "n": "<u4"}
-WINDOW = {"w1": "<u8", "w2": "<u4", "doc": "<i8", "lo": "<u4"}
+ENTRY = {"kh": "<u8", "sg": "<u8", "doc": "<i8", "tie": "<u4", "lo": "<u4", "n": "<u4"}
+RUN = {"doc": "<i8", "tie": "<u4", "lo": "<u4", "n": "<u4"}
+WINDOW = {"w1": "<u8", "w2": "<u4", "doc": "<i8", "tie": "<u4", "lo": "<u4"}
 OUT = "key int, kind int, blob binary"
 #: kinds of rows: an entry of an array, a repeated run, a run to be resolved
 ARRAY, REPEAT, PARTIAL = 0, 1, 2
@@ -73,7 +74,7 @@ def anchors(b: np.ndarray, off: np.ndarray, spans: B.Spans, length: int, k: int)
 
 def _firsts(arrays: dict, keys: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(order by keys and place, first of its keys, repeats the first from a later place)."""
-    order = np.lexsort([arrays["lo"], arrays["doc"], *[arrays[k] for k in reversed(keys)]])
+    order = np.lexsort([arrays["lo"], arrays["tie"], arrays["doc"], *[arrays[k] for k in reversed(keys)]])
     n = len(order)
     first = np.ones(n, bool)
     same = np.ones(max(0, n - 1), bool)
@@ -82,16 +83,23 @@ def _firsts(arrays: dict, keys: list[str]) -> tuple[np.ndarray, np.ndarray, np.n
         same &= x[1:] == x[:-1]
     first[1:] = ~same
     head = order[np.maximum.accumulate(np.where(first, np.arange(n), 0))] if n else order
-    later = (arrays["doc"][order] != arrays["doc"][head]) | (arrays["lo"][order] != arrays["lo"][head])
+    later = np.zeros(n, bool)
+    for k in ("doc", "tie", "lo"):
+        later |= arrays[k][order] != arrays[k][head]
     return order, first, later
 
 
+def _places(docs) -> tuple[np.ndarray, np.ndarray]:
+    """The first two columns: doc_id and what tells texts of one doc_id apart."""
+    return docs.column(0).to_numpy(zero_copy_only=False).astype("<i8") if isinstance(docs, pa.RecordBatch) else docs.column(0).to_numpy().astype("<i8"), (docs.column(1).to_numpy(zero_copy_only=False) if isinstance(docs, pa.RecordBatch) else docs.column(1).to_numpy()).astype("<u4")
+
+
 def _rows(rows: list[tuple[int, int, bytes]]) -> pa.Table:
     return pa.table({"key": pa.array([r[0] for r in rows], pa.int32()), "kind": pa.array([r[1] for r in rows], pa.int32()), "blob": pa.array([r[2] for r in rows], pa.binary())})
 
 
-def _home(doc: np.ndarray, homes: int) -> np.ndarray:
-    return (B.fmix(doc.view(np.uint64)) % np.uint64(homes)).astype(np.int32)
+def _home(doc: np.ndarray, tie: np.ndarray, homes: int) -> np.ndarray:
+    return (B.fmix(doc.view(np.uint64) ^ tie.astype(np.uint64) * np.uint64(B.BASES[0])) % np.uint64(homes)).astype(np.int32)
 
 
 def _batch_arrays(length: int, k: int, buckets: int):
@@ -110,10 +118,10 @@ def _batch_arrays(length: int, k: int, buckets: int):
     def run(batches):
         spans, parts, held = B.Spans(), [], 0
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for i, _, b, off in B.chunks(batch.column(1)):
+            ids, ties = _places(batch)
+            for i, _, b, off in B.chunks(batch.column(2)):
                 row, lo, n, kh, sg = anchors(b, off, spans, length, k)
-                parts.append({"kh": kh, "sg": sg, "doc": ids[i + row].astype("<i8"), "lo": lo.astype("<u4"), "n": n.astype("<u4")})
+                parts.append({"kh": kh, "sg": sg, "doc": ids[i + row], "tie": ties[i + row], "lo": lo.astype("<u4"), "n": n.astype("<u4")})
                 held += len(lo)
                 if held >= FLUSH:
                     yield from dealt(parts)
@@ -147,7 +155,7 @@ def _scan(homes: int):
         rows = [(key, ARRAY, C.pack(**{x: v[added] for x, v in a.items()}))] if len(added) else []
         repeats = {x: np.concatenate([passed[x], a[x][again]]) for x in RUN}
         for kind, runs in ((REPEAT, repeats), (PARTIAL, {x: a[x][part] for x in RUN})):
-            rows += [(i, kind, blob) for i, blob in C.split_by(_home(runs["doc"], homes), homes, runs)]
+            rows += [(i, kind, blob) for i, blob in C.split_by(_home(runs["doc"], runs["tie"], homes), homes, runs)]
         return _rows(rows)
 
     return run
@@ -211,21 +219,24 @@ class Family:
         return self._read(*self.flags)
 
 
-def _runs(doc: np.ndarray, lo: np.ndarray) -> dict[str, np.ndarray]:
+def _runs(doc: np.ndarray, tie: np.ndarray, lo: np.ndarray) -> dict[str, np.ndarray]:
     """Single windows as runs of consecutive ones."""
-    order = np.lexsort((lo, doc))
-    doc, lo = doc[order], lo[order].astype(np.int64)
+    order = np.lexsort((lo, tie, doc))
+    doc, tie, lo = doc[order], tie[order], lo[order].astype(np.int64)
     new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (lo[1:] > lo[:-1] + 1)
+    new[1:] = (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1]) | (lo[1:] > lo[:-1] + 1)
     at = np.flatnonzero(new)
-    last = np.append(at[1:], len(doc)) - 1
-    return {"doc": doc[at], "lo": lo[at].astype("<u4"), "n": (lo[last] - lo[at] + 1).astype("<u4")}
+    last = np.append(at, len(doc))[1:] - 1
+    return {"doc": doc[at], "tie": tie[at], "lo": lo[at].astype("<u4"), "n": (lo[last] - lo[at] + 1).astype("<u4")}
 
 
-def _of_rows(runs: dict[str, np.ndarray], ids: np.ndarray):
-    """(run, row) for all rows with the run's doc_id; ids: of the rows."""
-    by = np.argsort(ids, kind="stable")
-    left, right = np.searchsorted(ids[by], runs["doc"], "left"), np.searchsorted(ids[by], runs["doc"], "right")
+def _of_rows(runs: dict[str, np.ndarray], ids: np.ndarray, ties: np.ndarray):
+    """(run, row) for all rows that a run is of; ids and ties: of the rows."""
+    places = np.rec.fromarrays([np.concatenate([ids, runs["doc"]]), np.concatenate([ties, runs["tie"]])], names="doc,tie")
+    _, place = np.unique(places, return_inverse=True)
+    rows, wanted = place[: len(ids)], place[len(ids) :]
+    by = np.argsort(rows, kind="stable")
+    left, right = np.searchsorted(rows[by], wanted, "left"), np.searchsorted(rows[by], wanted, "right")
     n = right - left
     run = np.repeat(np.arange(len(n)), n)
     inner = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
@@ -239,8 +250,8 @@ def _partial_windows(length: int, buckets: int):
         runs = C.unpack_all([x.as_buffer() for x, kind in zip(flags["blob"], flags["kind"].to_pylist(), strict=True) if kind == PARTIAL], RUN)
         if not len(docs) or not len(runs["doc"]):
             return _rows([])
-        ids = docs["_id"].to_numpy()
-        which, row = _of_rows(runs, ids)
+        ids, ties = _places(docs)
+        which, row = _of_rows(runs, ids, ties)
         order = np.argsort(row, kind="stable")
         which, row = which[order], row[order]
         hashes, out = (B.Spans(0), B.Spans(1)), []
@@ -255,7 +266,7 @@ def _partial_windows(length: int, buckets: int):
             fits = start + length <= off[r + 1][k]
             start, k, lo = start[fits], k[fits], lo[fits]
             w1, w2 = (h.span(h.prefix(b), start, start + length) for h in hashes)
-            out.append({"w1": w1, "w2": (w2 >> np.uint64(32)).astype("<u4"), "doc": ids[i + r[k]].astype("<i8"), "lo": lo.astype("<u4")})
+            out.append({"w1": w1, "w2": (w2 >> np.uint64(32)).astype("<u4"), "doc": ids[i + r[k]], "tie": ties[i + r[k]], "lo": lo.astype("<u4")})
         if not out:
             return _rows([])
         a = {x: np.concatenate([o[x] for o in out]) for x in WINDOW}
@@ -264,7 +275,7 @@ def _partial_windows(length: int, buckets: int):
         kept = {x: v[kept] for x, v in a.items()}
         rows = [(p, ARRAY, blob) for p, blob in C.split_by((kept["w1"] >> np.uint64(33)) % np.uint64(buckets), buckets, kept)]
         if len(again):
-            rows.append((int(a["w1"][again[0]] % np.uint64(buckets)), REPEAT, C.pack(**_runs(a["doc"][again], a["lo"][again]))))
+            rows.append((int(a["w1"][again[0]] % np.uint64(buckets)), REPEAT, C.pack(**_runs(a["doc"][again], a["tie"][again], a["lo"][again]))))
         return _rows(rows)
 
     return run
@@ -278,9 +289,9 @@ def _resolve(homes: int):
         a = C.unpack_all([x.as_buffer() for x, kind in zip(table["blob"], kinds, strict=True) if kind == ARRAY], WINDOW)
         passed = C.unpack_all([x.as_buffer() for x, kind in zip(table["blob"], kinds, strict=True) if kind == REPEAT], RUN)
         order, _, later = _firsts(a, ["w1", "w2"])
-        own = _runs(a["doc"][order[later]], a["lo"][order[later]])
+        own = _runs(*[a[x][order[later]] for x in ("doc", "tie", "lo")])
         runs = {x: np.concatenate([passed[x], own[x]]) for x in RUN}
-        return _rows([(i, REPEAT, blob) for i, blob in C.split_by(_home(runs["doc"], homes), homes, runs)])
+        return _rows([(i, REPEAT, blob) for i, blob in C.split_by(_home(runs["doc"], runs["tie"], homes), homes, runs)])
 
     return run
 
@@ -295,8 +306,7 @@ def _cut(length: int, carried: list[str]):
     def run(docs: pa.Table, flags: pa.Table) -> pa.Table:
         kind = flags["kind"].to_pylist()
         runs = C.unpack_all([x.as_buffer() for x, k in zip(flags["blob"], kind, strict=True) if k == REPEAT], RUN)
-        ids = docs["_id"].to_numpy()
-        which, row = _of_rows(runs, ids)
+        which, row = _of_rows(runs, *_places(docs))
         order = np.argsort(row, kind="stable")
         which, row = which[order], row[order]
         sizes, kept, starts, ends, counts = [], [], [], [], []
@@ -327,14 +337,23 @@ def _cut(length: int, carried: list[str]):
     return run
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, batches: int = 4, carry: list[str] | None = None) -> DataFrame:
-    """doc_id, n_bytes, spans (removed, by byte), kept (the other bytes), and the columns to carry (with `text`, the text
-    as it was, if any are). batches: how many the documents arrive in."""
-    spark = docs.sparkSession
-    carried = ["text", *carry] if carry is not None else []
-    names = [f"_carried{i}" for i in range(len(carried))]
-    whole = docs.select(C.known_id(docs), docs["text"].alias("_text"), *[docs[c].alias(n) for c, n in zip(carried, names, strict=True)])
-    docs = whole.select("_id", "_text")
+def told_apart(docs: DataFrame) -> DataFrame:
+    """docs (_id, _text, ...) with _tie after _id: 0, or a hash of the text where several rows share the doc_id."""
+    shared = docs.groupBy("_id").agg(F.count("*").alias("c")).filter("c > 1").select("_id")
+    if not shared.limit(1).count():
+        tie = F.lit(0).cast("long")
+    else:
+        docs = docs.join(shared.withColumn("_shared", F.lit(True)), "_id", "left")
+        tie = F.when(F.col("_shared"), F.pmod(F.xxhash64(F.coalesce("_text", F.lit(""))), F.lit((1 << 32) - 1)) + 1).otherwise(0)
+    return docs.select("_id", tie.alias("_tie"), *[c for c in docs.columns if c not in ("_id", "_shared")])
+
+
+def cut_rows(whole: DataFrame, length: int = LENGTH, k: int = K, batches: int = 4) -> DataFrame:
+    """whole (_id, _text, others) with n_bytes, spans and kept in place of _text."""
+    spark = whole.sparkSession
+    names = [c for c in whole.columns if c not in ("_id", "_text")]
+    whole = told_apart(whole).select("_id", "_tie", "_text", *names)
+    docs = whole.select("_id", "_tie", "_text")
     total, cuts = docs.agg(F.count("*"), F.percentile_approx("_id", [i / batches for i in range(1, batches)], 10_000) if batches > 1 else F.lit(None)).first()
     buckets, homes = C.buckets_for(spark, total, 8192), C.buckets_for(spark, total, 4096)
     family = Family(spark, buckets, homes)
@@ -345,18 +364,26 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, batches: int
     family.drop_levels()
     flags = family.flagged()
     at_home = whole.mapInArrow(_with_home(homes), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in whole.schema.fields) + ", key int")
-    windows = at_home.groupBy("key").cogroup(flags.filter(F.col("kind") == PARTIAL).groupBy("key")).applyInArrow(_partial_windows(length, buckets), OUT)
+    windows = at_home.select("_id", "_tie", "_text", "key").groupBy("key").cogroup(flags.filter(F.col("kind") == PARTIAL).groupBy("key")).applyInArrow(_partial_windows(length, buckets), OUT)
     resolved = windows.groupBy("key").applyInArrow(_resolve(homes), OUT)
     repeats = flags.filter(F.col("kind") == REPEAT).unionByName(resolved)
     schema = ", ".join([RESULT, *[f"`{c}` {whole.schema[c].dataType.simpleString()}" for c in names]])
-    out = at_home.groupBy("key").cogroup(repeats.groupBy("key")).applyInArrow(_cut(length, names), schema)
+    return at_home.groupBy("key").cogroup(repeats.groupBy("key")).applyInArrow(_cut(length, names), schema)
+
+
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, batches: int = 4, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, n_bytes, spans (removed, by byte), kept (the other bytes), and the columns to carry (with `text`, the text
+    as it was, if any are). batches: how many the documents arrive in. Of columns that share a name with one of the four, the operator's is given."""
+    carried = [c for c in ["text", *carry] if c.lower() not in ("doc_id", "n_bytes", "spans", "kept")] if carry is not None else []
+    names = [f"_carried{i}" for i in range(len(carried))]
+    out = cut_rows(docs.select(C.known_id(docs), docs["text"].alias("_text"), *[docs[c].alias(n) for c, n in zip(carried, names, strict=True)]), length, k, batches)
     return out.select(C.real_id().alias("doc_id"), "n_bytes", "spans", "kept", *[F.col(n).alias(c) for c, n in zip(carried, names, strict=True)])
 
 
 def _with_home(homes: int):
     def run(batches):
         for batch in batches:
-            key = _home(batch.column(0).to_numpy(zero_copy_only=False), homes)
+            key = _home(*_places(batch), homes)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key, pa.int32())], names=[*batch.schema.names, "key"])
 
     return run
