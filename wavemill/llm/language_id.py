@@ -21,6 +21,8 @@ from . import textbytes as B
 from .linear import Adam, sigmoid
 
 DIM, SCALE, LANGS = 2048, 60.0, 256
+#: Texts whose features are held at once.
+ROWS = 512
 
 
 def shares(b: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -85,7 +87,7 @@ def learn(docs: DataFrame, of: Column, sample: int = 4000, bits: int = 15) -> Co
 
     def run(batches):
         for batch in batches:
-            for i, j, b, off in B.chunks(batch.column(2)):
+            for i, j, b, off in B.chunks(batch.column(2), rows=ROWS):
                 x = shares(b, off)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "lang", "x"])
 
@@ -118,7 +120,7 @@ def predict(docs: DataFrame, codes: Codes | None, ambiguous: float = 0.2) -> Dat
         for batch in batches:
             names, scores, leads = [], [], []
             has = batch.column(2).to_pylist()
-            for i, j, b, off in B.chunks(batch.column(1)):
+            for i, j, b, off in B.chunks(batch.column(1), rows=ROWS):
                 if codes is None:
                     names += ["und"] * (j - i)
                     scores += [0.0] * (j - i)

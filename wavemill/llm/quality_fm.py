@@ -19,6 +19,8 @@ from . import textbytes as B
 from .linear import Adam, sigmoid
 
 WORDS, BINS, RANK = 1024, 8, 8
+#: Texts whose features are held at once.
+ROWS = 512
 STATS = ("symbols", "capitals", "digits", "marks", "pipes", "shouts", "symbol words", "next equal", "longest run", "distinct words", "repeated windows", "repeated lines", "blank", "word length", "line length", "log words", "log bytes", "non-ASCII")
 
 _CLASS = {name: np.zeros(256, np.int32) for name in ("symbol", "capital", "digit", "mark", "pipe", "shout", "high")}
@@ -149,7 +151,7 @@ def learn(docs: DataFrame, labels: DataFrame, of: Column, sample: int = 12_000):
     def run(batches):
         spans = B.Spans()
         for batch in batches:
-            for i, j, b, off in B.chunks(batch.column(2)):
+            for i, j, b, off in B.chunks(batch.column(2), rows=ROWS):
                 stats, hashed = statistics(b, off, spans)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array([r.tobytes() for r in stats], pa.binary()), pa.array([np.minimum(r, 65535).astype("<u2").tobytes() for r in hashed], pa.binary())], names=["doc_id", "y", "stats", "hashed"])
 
@@ -169,7 +171,7 @@ def scores(docs: DataFrame, model, score: str = "_score") -> DataFrame:
         spans = B.Spans()
         for batch in batches:
             out = [np.empty(0)]
-            for _, _, b, off in B.chunks(batch.column(names.index("text"))):
+            for _, _, b, off in B.chunks(batch.column(names.index("text")), rows=ROWS):
                 out.append(model.score(*statistics(b, off, spans)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out))], names=[*names, score])
 

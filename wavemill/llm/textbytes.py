@@ -7,7 +7,7 @@ import pyarrow as pa
 
 #: An odd base and its inverse modulo 2**64, for two independent hashes.
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 
 def fmix(x: np.ndarray) -> np.ndarray:
@@ -61,14 +61,15 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def chunks(column: pa.Array, limit: int = CHUNK):
-    """(first row, last row + 1, bytes, offsets) over pieces of about `limit` bytes, whole rows each."""
+def chunks(column: pa.Array, limit: int = CHUNK, rows: int = 1 << 31):
+    """(first row, last row + 1, bytes, offsets) over pieces of about `limit` bytes and `rows` rows at most, whole rows each."""
     if isinstance(column, pa.ChunkedArray):
         column = column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
     raw, off = buffers(column)
     i, n = 0, len(off) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1)
+        j = min(j, i + rows)
         yield i, j, raw[off[i] : off[j]], off[i : j + 1] - off[i]
         i = j
 
