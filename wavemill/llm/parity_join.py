@@ -5,14 +5,14 @@ the Hamming distance of two sketches is never above the symmetric difference of
 100 * intersection >= T * union, the smaller of size a, differ in at most d = (100 - T) * a / T elements. Per band of
 sizes, elements are dealt into K = d + 1 + z parts: sketches of a linked pair agree in 1 + z parts at least, so a join
 on (band, part, parity of the part) loses no pair. The part's parity is kept as the exclusive or of its elements'
-hashes, which is a fingerprint of a sketch with one bit per possible hash. Empty parts agree by chance; they are joined
-on only where a set has 1 + z of them, as only then could they be all that agrees.
+hashes, which is a fingerprint of a sketch with one bit per possible hash. Empty parts agree by chance; a set joins on them
+only if all its other parts could differ in a linked pair, as only then could they be all that agrees.
 
 Equal sets collapse to one representative. Members of a part that agree are verified against the least of them, where
 folded bit sketches don't rule it out; links make components. Groups that agree in a part but whose members are then in
-several components are compared across these by sketches, the largest component in blocks of its own; the pairs that these don't rule out are
-verified by their sets, each document's closest first and then all left. So links that don't touch the least member are found,
-and no group emits all its pairs. Sets are compared by 48 bits of each shingle's hash. Texts are read three times and shingled
+several components are compared across these by sketches, in blocks, the largest component in blocks of its own; what sketches don't
+rule out is verified within the blocks by sets, the closest first, until a document and a component are linked. So links that don't touch
+the least member are found, and no group emits its pairs. Sets are compared by 48 bits of each shingle's hash. Texts are read three times and shingled
 anew, as whole sets would take more of the disk than the texts.
 
 Cases: no words or null text: empty set, linked with nothing; fewer than n words: the whole sequence is the one
@@ -31,7 +31,7 @@ from . import common as C
 from . import textbytes as B
 from .components import components
 
-KEY = {"key": "<u4", "doc": "<i8"}
+KEY = {"key": "<u8", "doc": "<i8"}
 LINKS = "a bigint, b bigint"
 PAIRS = "head bigint, _id bigint"
 LIST = 1000
@@ -79,7 +79,7 @@ def bands(most: int, percent: int) -> list[tuple[int, int, int, int, int]]:
         d = away * lo // percent
         hi = max(-(-percent * (d + 1) // away) - 1, int(1.4 * lo))
         d = away * hi // percent
-        out.append((lo, hi, 100 * hi // percent, d, d + 2 + d // 40))
+        out.append((lo, hi, 100 * hi // percent, d, d + 2 + d // 12))
         lo = hi + 1
     return out
 
@@ -94,9 +94,9 @@ def sketches(row: np.ndarray, h: np.ndarray, size: np.ndarray, percent: int, tim
     """(bytes, offsets) of each set's parity sketch: an element toggles one bit."""
     bits = _bits(size, percent, times)
     off = np.concatenate([[0], np.cumsum(bits)])
-    at = off[row] + (B.fmix(h) & (bits - 1)[row].astype(np.uint64)).astype(np.int64)
-    flips = np.bincount(at, minlength=off[-1]) & 1
-    return np.packbits(flips.astype(np.uint8), bitorder="little"), off // 8
+    at, times = np.unique(off[row] + (B.fmix(h) & (bits - 1)[row].astype(np.uint64)).astype(np.int64), return_counts=True)
+    at = at[times & 1 == 1]
+    return np.bincount(at >> 3, weights=1 << (at & 7), minlength=off[-1] >> 3).astype(np.uint8), off >> 3
 
 
 def _sketch(elements: np.ndarray, percent: int) -> bytes:
@@ -131,7 +131,7 @@ def _part_keys(n: int, percent: int, buckets: int):
 
     def dealt(keys, docs):
         key, doc = np.concatenate(keys), np.concatenate(docs)
-        rows = list(C.split_by((key % np.uint64(buckets)).astype(np.int64), buckets, {"key": (key >> np.uint64(32)).astype("<u4"), "doc": doc}))
+        rows = list(C.split_by((key % np.uint64(buckets)).astype(np.int64), buckets, {"key": key >> np.uint64(24), "doc": doc}))
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "blob"])
 
     def run(batches):
@@ -149,7 +149,7 @@ def _part_keys(n: int, percent: int, buckets: int):
                     if size[x] and mark not in seen:
                         seen.add(mark)
                         fresh[x] = True
-                for band, (lo, _, partner, d, parts) in enumerate(bands(int(size.max(initial=0)), percent)):
+                for band, (lo, hi, partner, _, parts) in enumerate(bands(int(size.max(initial=0)), percent)):
                     rows = np.flatnonzero(fresh & (size >= lo) & (size <= partner))
                     if not len(rows):
                         continue
@@ -165,14 +165,15 @@ def _part_keys(n: int, percent: int, buckets: int):
                     used = np.zeros(len(parity), bool)
                     parity[cell[first]] = np.bitwise_xor.reduceat(x, first)
                     used[cell[first]] = True
-                    empty = parts - used.reshape(-1, parts).sum(axis=1)
-                    used |= np.repeat(empty >= parts - d, parts)
+                    # What a linked partner of this band can differ in, as the larger or the smaller one, reaches all parts that have elements.
+                    most = np.maximum(np.where(count <= hi, (100 - percent) * count // percent, 0), (100 - percent) * (np.minimum(count, hi) + count) // (100 + percent))
+                    used |= np.repeat(used.reshape(-1, parts).sum(axis=1) <= most, parts)
                     at = np.flatnonzero(used)
                     place = B.fmix((at % parts).astype(np.uint64) + np.uint64((band + 1) << 32))
                     keys.append(B.fmix(parity[at] ^ place))
                     docs.append(ids[i + rows[at // parts]].astype("<i8"))
                     held += len(at)
-                if held > 1_500_000:
+                if held > 750_000:
                     yield dealt(keys, docs)
                     keys, docs, held = [], [], 0
         if held:
@@ -372,17 +373,31 @@ def _possible(table: pa.Table, percent: int):
                 yield i, j[passed], far[passed]
 
 
-def _near_pairs(percent: int, closest: bool):
-    """The possible pairs of one pair of blocks; closest: only each document's closest."""
+def _linked(percent: int):
+    """The links of one pair of blocks: for each document and each other component one, if there is any. Nearest sketches are verified
+    first, in batches that grow, until one is linked."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, a, b = table["_id"].to_numpy(), [], []
+        ids, label = table["_id"].to_numpy(), table["label"].to_numpy()
+        raw = table["elements"].to_pylist()
+        a, b = [], []
         for i, j, far in _possible(table, percent):
-            j = j[[far.argmin()]] if closest else j
-            a.append(np.minimum(ids[j], ids[i]))
-            b.append(np.maximum(ids[j], ids[i]))
-        cat = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
-        return pa.table({"head": cat(a), "_id": cat(b)})
+            of, _ = _elements([raw[i]])
+            j = j[np.lexsort((far, label[j]))]
+            edge = np.flatnonzero(np.append(True, label[j[1:]] != label[j[:-1]])).tolist()
+            for at, end in zip(edge, [*edge[1:], len(j)], strict=True):
+                step = 1
+                while at < end:
+                    some = j[at : min(at + step, end)]
+                    x, off = _elements([raw[k] for k in some])
+                    both = _common(of, x, off)
+                    linked = 100 * both >= percent * (len(of) + np.diff(off) - both)
+                    if linked.any():
+                        a.append(ids[i])
+                        b.append(ids[some[linked.argmax()]])
+                        break
+                    at, step = at + step, min(8 * step, 256)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
@@ -436,7 +451,7 @@ def _split(led: DataFrame, labels: DataFrame, sets: DataFrame, block: int) -> Da
     return left.join(sets, "_id").select("head", "i", "j", "_id", "label", "side", "n", "sketch")
 
 
-def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, block: int = 1024) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, block: int = 512) -> DataFrame:
     """doc_id, n_shingles, representative (least document of the same set), component_id."""
     spark = docs.sparkSession
     path = C.scratch(spark, "jaccard")
@@ -476,7 +491,6 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, block: in
     heads = heads.join(small.select(F.col("_id").alias("head"), F.col("sketch").alias("head_sketch")), "head")
     both = rows.join(small.select("_id", "sketch"), "_id").join(heads, ["head", "salt"])
     likely = C.written(both.select("head", "_id", "least", "sketch", "head_sketch").mapInArrow(_plausible(percent), PAIRS).distinct(), f"{path}/likely")
-    pairs = pairs.select("head", "_id").distinct()
     C.release(spark)
     # Rows of one id with several texts are one document.
     several = rep_of.groupBy("_id").agg(F.min("rep").alias("a"), F.count("*").alias("c")).filter("c > 1").select("_id", "a")
@@ -495,24 +509,19 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, block: in
         links = links.unionByName(more)
         labels = components(links)
 
-    # Where members of a group are in several components: first each document's closest, then all that may link yet, by sketches
-    # of eight times the bits, which only those get that the small ones leave in doubt.
+    # Where members of a group are in several components: documents that small sketches leave in doubt are compared in blocks, by
+    # sketches of eight times the bits and then by their sets.
     led = C.written(led.select("head", "_id"), f"{path}/led")
-    for turn, closest in enumerate((True, False)):
-        blocks = _split(led, labels, small, block)
-        if not closest:
-            doubt = C.written(blocks.groupBy("head", "i", "j").applyInArrow(_in_doubt(percent), BLOCK), f"{path}/doubt")
-            blocks = doubt.join(sets.select("_id", F.col("fine").alias("sketch")), "_id").select(*blocks.columns)
-        near = blocks.groupBy("head", "i", "j").applyInArrow(_near_pairs(percent, closest), PAIRS).distinct()
-        near = C.written(near.join(pairs, ["head", "_id"], "left_anti"), f"{path}/near{turn}")
-        C.release(spark)
-        more = C.written(_verified(near, sets, percent), f"{path}/more{turn}")
-        C.release(spark)
-        pairs = pairs.unionByName(near)
-        if more.limit(1).count():
-            links = links.unionByName(more)
-            labels = components(links)
+    blocks = _split(led, labels, small, block)
+    doubt = C.written(blocks.groupBy("head", "i", "j").applyInArrow(_in_doubt(percent), BLOCK), f"{path}/doubt")
+    C.release(spark)
+    doubt = doubt.join(sets.select("_id", F.col("fine").alias("sketch"), "elements"), "_id")
+    more = C.written(doubt.groupBy("head", "i", "j").applyInArrow(_linked(percent), LINKS), f"{path}/links2")
+    C.release(spark)
+    if more.limit(1).count():
+        links = links.unionByName(more)
+        labels = components(links)
     out = base.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    for x in ("found", "members", "sets", "sketches", "likely", "apart", "led", "near0", "near1", "doubt"):
+    for x in ("found", "members", "sets", "sketches", "likely", "apart", "led", "doubt"):
         C.delete(spark, f"{path}/{x}")
     return out.select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("rep").alias("representative"), F.coalesce("label", "rep").alias("component_id"))
