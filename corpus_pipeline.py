@@ -48,13 +48,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the bytes that repeat 100-byte strings of earlier ones; those of which no word is left go. Halves of characters
     at a cut go too. Null texts stay null; repeated rows (same doc_id and text) don't cut each other."""
-    names = {c: f"_carried{i}" for i, c in enumerate(docs.columns)}
-    cut = cut_rows(docs.select(common.known_id(docs), docs["text"].alias("_text"), *[F.col(c).alias(n) for c, n in names.items()]))
+    names = {c: f"_carried{i}" for i, c in enumerate(docs.columns) if c not in ("text", "n_chars")}
+    cut = cut_rows(docs.select(common.known_id(docs), docs["text"].alias("_text"), docs["text"].isNull().alias("_null"), *[F.col(c).alias(n) for c, n in names.items()]))
     whole = F.make_valid_utf8(F.col("kept").cast("string"))
-    text = F.when(F.col(names["text"]).isNull(), None).when(F.size("spans") == 0, whole).otherwise(F.translate(whole, "�", ""))
+    text = F.when(F.col("_null"), None).when(F.size("spans") == 0, whole).otherwise(F.translate(whole, "�", ""))
     out = cut.withColumn("kept", text).filter((F.size("spans") == 0) | (F.btrim("kept", F.lit(common.BLANKS)) != ""))
     new = {"text": F.col("kept"), "n_chars": F.char_length("kept").cast("long")}
-    return out.select(*[new.get(c, F.col(n)).alias(c) for c, n in names.items()])
+    return out.select(*[(new[c] if c in new else F.col(names[c])).alias(c) for c in docs.columns])
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
