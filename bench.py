@@ -16,7 +16,7 @@ sys.path.insert(0, f"{ROOT}/tests")
 os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-TABLES = ("wave_ymax", "wave_value_at", "wave_cross_second_rising", "wave_deriv", "wave_integ", "wave_bandwidth_low", "complex_db20", "complex_square", "long_unpivot", "noise_top_k", "noise_share", "corner_report", "time_bucket_mean", "align_concat", "describe_runs")
+TABLES = ("wave_ymax", "wave_value_at", "wave_cross_second_rising", "wave_deriv", "wave_integ", "wave_bandwidth_low", "complex_db20", "complex_square", "long_unpivot", "noise_top_k", "noise_share", "corner_report", "time_bucket_mean", "align_whole", "describe_runs")
 
 
 def noise_file(path: str, devices: int = 20_000, points: int = 101) -> None:

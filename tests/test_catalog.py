@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+import wavemill.plans.files  # noqa: F401
 from wavemill.plans.catalog import ORACLES, QUERIES
 
 

@@ -7,10 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ..functions import complexes as cx
 from ..functions.scalars import quoted as q
+from .ordered import with_previous
 
 
 def align(frames: list[DataFrame], index: list[str]) -> DataFrame:
@@ -85,9 +85,23 @@ def leaf_signal_pairs(leaves: DataFrame, names: DataFrame, condition: Column | N
     return pairs if condition is None else pairs.filter(condition)
 
 
-def phasor(df: DataFrame, groups: list[str], x: str, y: str, frequency: float) -> DataFrame:
-    """The Fourier sum of each curve at a frequency: re and im of sum y * exp(-i 2 pi f x) dx."""
-    w = Window.partitionBy(*map(q, groups)).orderBy(q(x))
-    dx = F.coalesce(F.col(q(x)) - F.lag(q(x)).over(w), F.lit(0.0))
-    d = df.withColumn("_dx", dx).withColumn("_angle", 2 * F.pi() * frequency * F.col(q(x)))
+def phasor(df: DataFrame, groups: list[str], x: str, y: str, frequency: float, segments: int = 8) -> DataFrame:
+    """The Fourier sum of each curve at a frequency: re and im of sum y * exp(-i 2 pi f x) dx. Curves are cut into stretches."""
+    d = with_previous(df, groups, x, [x], segments)
+    dx = F.coalesce(F.col(q(x)) - F.col("_prev").getField(x), F.lit(0.0))
+    d = d.withColumn("_dx", dx).withColumn("_angle", 2 * F.pi() * frequency * F.col(q(x)))
     return d.groupBy(*map(q, groups)).agg(F.sum(F.col(q(y)) * F.cos("_angle") * F.col("_dx")).alias("re"), F.sum(-F.col(q(y)) * F.sin("_angle") * F.col("_dx")).alias("im"))
+
+
+def of_type(df: DataFrame, *kinds: str, without: list[str] = ()) -> list[str]:
+    """Names of the columns whose type is one of these (`double`, `struct`, ...), in order."""
+    return [f.name for f in df.schema.fields if f.dataType.typeName() in kinds and f.name not in without]
+
+
+def within(df: DataFrame, ranges: DataFrame, x: str, low: str, high: str, width: float, most: int = 100_000) -> DataFrame:
+    """Rows of df joined to the ranges (low <= x < high) that hold them. Both sides meet in stretches of the axis of `width`, so neither side
+    is sent whole to the other; a range that spans over `most` stretches is an error."""
+    cell = lambda c: F.floor(F.col(q(c)) / width)
+    spans = F.when(cell(high) - cell(low) > most, F.raise_error(F.lit(f"a range spans over {most} stretches: take a larger width"))).otherwise(cell(high))
+    cut = ranges.filter(F.col(q(low)) < F.col(q(high))).withColumn("_cell", F.explode(F.sequence(cell(low), spans.cast("long"))))
+    return df.withColumn("_cell", cell(x)).join(cut, "_cell").filter((F.col(q(low)) <= F.col(q(x))) & (F.col(q(x)) < F.col(q(high)))).drop("_cell")

@@ -22,8 +22,10 @@ NAN = float("nan")
 
 
 class Waveform:
-    #: Into how many stretches a single curve is cut for operations along its axis; families aren't cut.
-    SEGMENTS = 8
+    #: Samples in a stretch: curves are cut into stretches along their axis for operations on neighbours.
+    STRETCH = 4_000_000
+    #: Stretches at least where the number of samples isn't known: of a single curve, and of a family, whose curves run in parallel anyway.
+    SEGMENTS = (8, 2)
 
     def __init__(self, df: DataFrame, name: str, index: list[str], units: dict | None = None, n: int | None = None, segments: int | None = None):
         self.df, self.yname, self.index = df, name, list(index)
@@ -37,7 +39,12 @@ class Waveform:
     yunit = property(lambda self: self.units.get(self.yname))
     lazy = property(lambda self: self.df)
     frame = property(lambda self: self.df)
-    segments = property(lambda self: self._segments or (1 if self.groups else self.SEGMENTS))
+
+    @property
+    def segments(self) -> int:
+        """Into how many stretches the axis is cut, the same cuts for all curves, so that neither a long curve nor a family of few fills one task."""
+        known = -(-self._n // self.STRETCH) if self._n else 0
+        return self._segments or max(known, self.SEGMENTS[bool(self.groups)], self.df.sparkSession.sparkContext.defaultParallelism if not self._n and self.groups else 1)
 
     @cached_property
     def is_complex(self) -> bool:
@@ -135,8 +142,14 @@ class Waveform:
             if len(value) != 1:
                 raise ValueError(f"expected the groups {self.groups} and one value, not {other.columns}")
             keys = [g for g in self.groups if g in other.columns]
-            joined = self.df.join(other.withColumnRenamed(value[0], "_other"), keys) if keys else self.df.crossJoin(other.withColumnRenamed(value[0], "_other"))
-            a, b, b_complex = self._y, F.col("_other"), cx.is_complex_type(other.schema[value[0]].dataType)
+            other = other.withColumnRenamed(value[0], "_other")
+            if keys:
+                joined = self.df.join(other, keys)
+            else:
+                if len(other.take(2)) != 1:
+                    raise ValueError("a table without the curves' groups must have one row")
+                joined = self.df.crossJoin(F.broadcast(other))  # one row
+            a, b, b_complex = self._y, F.col("_other"), cx.is_complex_type(other.schema["_other"].dataType)
             df = joined
         else:
             b_complex = isinstance(other, complex)
@@ -152,14 +165,15 @@ class Waveform:
         if operation == "pow":
             raise NotImplementedError("waveform ** waveform")
         name = f"({self.yname} {SYMBOLS[operation]} {other.yname})"
-        a = self.df.select(*map(q, self.index), self._y.alias("_a"))
-        b = other.df.select(*map(q, other.index), other._y.alias("_b"))
-        sides = [w.df.select(*map(q, w.index)) for w in (self, other)]
-        odd = sides[0].exceptAll(sides[1]).limit(1).unionByName(sides[1].exceptAll(sides[0]).limit(1))
+        a = self.df.select(*map(q, self.index), self._y.alias("_a"), F.lit(True).alias("_in_a"))
+        b = other.df.select(*map(q, other.index), other._y.alias("_b"), F.lit(True).alias("_in_b"))
+        both = a.join(b, self.index, "full")
+        # One join looks for samples without a partner and pairs the others; odd ones are told before a result is handed out.
+        odd = both.filter(F.col("_in_a").isNull() | F.col("_in_b").isNull())
         if odd.limit(1).count():
             raise ValueError("the waveforms have different axes")
         value = arithmetic(operation, F.col("_a"), F.col("_b"), self.is_complex, other.is_complex)
-        return Waveform(a.join(b, self.index).select(*map(q, self.index), value.alias(name)), name, self.index, {k: v for k, v in self.units.items() if k in self.index} | {name: None}, self._n, self._segments)
+        return Waveform(both.select(*map(q, self.index), value.alias(name)), name, self.index, {k: v for k, v in self.units.items() if k in self.index} | {name: None}, self._n, self._segments)
 
     def __add__(self, other):
         return self._combined(other, "add")
@@ -246,10 +260,12 @@ class Waveform:
         self._need_real()
         return self._weighted("rms", self._y * self._y, F.sqrt) if weighted else self._measured("rms", F.sqrt(F.avg(self._y * self._y)))
 
-    def describe(self) -> DataFrame:
-        """Count, mean, deviation, extremes and quartiles of each curve."""
+    def describe(self, accuracy: int | None = None) -> DataFrame:
+        """Count, mean, deviation, extremes and quartiles of each curve. Exact quartiles keep a count of each distinct value of a curve in
+        one task; with an accuracy they come from a sketch of bounded size, within 1 / accuracy of the rank."""
         y = self._real_y()
-        quartiles = [F.percentile(y, p).alias(n) for n, p in (("q25", 0.25), ("median", 0.5), ("q75", 0.75))]
+        of = F.percentile if accuracy is None else lambda c, at: F.percentile_approx(c, at, accuracy)
+        quartiles = [of(y, p).alias(n) for n, p in (("q25", 0.25), ("median", 0.5), ("q75", 0.75))]
         return self.df.groupBy(*self._keys).agg(F.count(y).alias("count"), F.avg(y).alias("mean"), F.stddev_samp(y).alias("std"), F.min(y).alias("min"), *quartiles, F.max(y).alias("max"))
 
     def value(self, x0: float):

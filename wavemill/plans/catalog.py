@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import complexes as cx
 from ..functions.scalars import bucket, equal, round_sig_figs
+from ..functions.scalars import horizontal_sum as added
 from ..operators import relational as R
 from ..operators.waveform import Waveform
 
@@ -277,10 +278,11 @@ def leaf_cross_prune(spark, d):
     return R.leaf_signal_pairs(table(spark, d, "region").select("r_name"), table(spark, d, "part").select("p_type").distinct(), some)
 
 
-@query("SELECT custkey, n, s FROM (SELECT c_custkey AS custkey, c_acctbal AS n FROM customer WHERE c_custkey % 2 = 0) FULL JOIN (SELECT o_custkey AS custkey, round(sum(o_totalprice), 2) AS s FROM orders WHERE o_custkey % 3 = 0 GROUP BY 1) USING (custkey)")
-def align_concat(spark, d):
-    a = table(spark, d, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("custkey"), F.col("c_acctbal").alias("n"))
-    b = table(spark, d, "orders").filter("o_custkey % 3 = 0").groupBy(F.col("o_custkey").alias("custkey")).agg(F.round(F.sum("o_totalprice"), 2).alias("s"))
+@query("SELECT custkey, n, s FROM (SELECT c_custkey AS custkey, c_acctbal AS n FROM customer) FULL JOIN (SELECT o_custkey AS custkey, round(sum(o_totalprice), 2) AS s FROM orders GROUP BY 1) USING (custkey)")
+def align_whole(spark, d):
+    """Every customer beside the sum of their orders; either may be without the other."""
+    a = table(spark, d, "customer").select(F.col("c_custkey").alias("custkey"), F.col("c_acctbal").alias("n"))
+    b = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("custkey")).agg(F.round(F.sum("o_totalprice"), 2).alias("s"))
     return R.align([a, b], ["custkey"])
 
 
@@ -378,3 +380,90 @@ def wave_dft(spark, d):
 
     e = table(spark, d, "events").withColumn("n", F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")))
     return rounded(Waveform(e.select("event_type", (F.col("n") * 1.0).alias("t"), "value"), "value", ["event_type", "t"], {"t": "s"}).dft().df, "value")
+
+
+def _urgent(spark, d) -> DataFrame:
+    return table(spark, d, "orders").filter("o_totalprice > 300000").select(F.col("o_custkey").alias("k"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
+def anti_join_rows(spark, d):
+    return table(spark, d, "customer").join(_urgent(spark, d), F.col("c_custkey") == F.col("k"), "left_anti").select("c_custkey")
+
+
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 300000")
+def set_except_rows(spark, d):
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("k")).subtract(_urgent(spark, d))
+
+
+@query("SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS q, CAST(grouping(l_linestatus) AS BIGINT) AS level FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+def rollup_totals(spark, d):
+    return table(spark, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("q"), F.grouping("l_linestatus").cast("long").alias("level"))
+
+
+@query("SELECT l_returnflag, l_shipmode, count(*) AS n FROM (SELECT l_returnflag, CAST(l_linenumber AS VARCHAR) AS l_shipmode FROM lineitem) GROUP BY GROUPING SETS ((l_returnflag), (l_shipmode))")
+def grouping_sets(spark, d):
+    lines = table(spark, d, "lineitem").select("l_returnflag", F.col("l_linenumber").cast("string").alias("l_shipmode"))
+    both = [F.col("l_returnflag"), F.col("l_shipmode")]
+    return lines.groupingSets([both[:1], both[1:]], *both).agg(F.count("*").alias("n"))
+
+
+@query("SELECT n_name, count(*) AS larger FROM nation JOIN region ON n_regionkey < r_regionkey GROUP BY n_name")
+def theta_join(spark, d):
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    return n.join(F.broadcast(r), F.col("n_regionkey") < F.col("r_regionkey")).groupBy("n_name").agg(F.count("*").alias("larger"))
+
+
+@query("""SELECT p_partkey, c.low FROM part JOIN (SELECT CAST(250.0 * i AS DOUBLE) AS low, CAST(250.0 * i + 400.0 AS DOUBLE) AS high FROM range(0, 12) t(i)) c ON p_retailprice >= c.low AND p_retailprice < c.high""")
+def range_join(spark, d):
+    """Prices and the overlapping bands that hold them."""
+    bands = spark.range(12).select((F.col("id") * 250.0).alias("low"), (F.col("id") * 250.0 + 400.0).alias("high"))
+    return R.within(table(spark, d, "part").select("p_partkey", "p_retailprice"), bands, "p_retailprice", "low", "high", 100.0).select("p_partkey", "low")
+
+
+@query("SELECT s_suppkey, round(s_acctbal, 1) AS s_acctbal FROM supplier")
+def column_selectors(spark, d):
+    """The floating-point columns, rounded, beside the key."""
+    s = table(spark, d, "supplier")
+    return s.select("s_suppkey", *[F.round(c, 1).alias(c) for c in R.of_type(s, "double", "float")])
+
+
+@query("SELECT c_custkey, round(c_acctbal + c_nationkey * 2.0, 4) AS total FROM customer")
+def horizontal_sum(spark, d):
+    c = table(spark, d, "customer")
+    return c.select("c_custkey", F.round(added([F.col("c_acctbal"), F.col("c_nationkey") * 2.0]), 4).alias("total"))
+
+
+@query("SELECT l_orderkey, CAST(list(l_quantity ORDER BY l_linenumber, l_quantity)[1] AS DOUBLE) AS first, CAST(list(l_quantity ORDER BY l_linenumber, l_quantity)[-1] AS DOUBLE) AS last, CAST(list(l_quantity ORDER BY l_linenumber, l_quantity)[3] AS DOUBLE) AS third FROM lineitem GROUP BY l_orderkey")
+def list_items(spark, d):
+    lists = R.ordered_list(table(spark, d, "lineitem"), ["l_orderkey"], "l_linenumber", "l_quantity")
+    y = F.transform("curve", lambda v: v["y"])
+    return lists.select("l_orderkey", F.get(y, F.lit(0)).alias("first"), F.element_at(y, -1).alias("last"), F.get(y, F.lit(2)).alias("third"))
+
+
+@query(f"""WITH p AS {PAIRS}, r AS (SELECT event_type, arg_max(value, x) * pow(10, -3.0 / 20) AS t FROM {E} GROUP BY event_type)
+SELECT event_type, coalesce(round(max(x0 + (t - y0) / (y1 - y0) * (x1 - x0)) FILTER (y0 < t AND y1 >= t), 6), CAST('nan' AS DOUBLE)) AS bandwidth FROM p JOIN r USING (event_type) GROUP BY event_type""")
+def wave_bandwidth_high(spark, d):
+    return rounded(curves(spark, d).bandwidth(type="high"), "bandwidth")
+
+
+@query(f"""WITH p AS {PAIRS}, r AS (SELECT event_type, max(value) * pow(10, -3.0 / 20) AS t, arg_max(x, (value, -x)) AS peak FROM {E} GROUP BY event_type)
+SELECT event_type, coalesce(round(min(x0 + (t - y0) / (y1 - y0) * (x1 - x0)) FILTER (y0 >= t AND y1 < t AND x1 > peak) - max(x0 + (t - y0) / (y1 - y0) * (x1 - x0)) FILTER (y0 < t AND y1 >= t AND x0 < peak), 6), CAST('nan' AS DOUBLE)) AS bandwidth FROM p JOIN r USING (event_type) GROUP BY event_type""")
+def wave_bandwidth_band(spark, d):
+    return rounded(curves(spark, d).bandwidth(type="band"), "bandwidth")
+
+
+@query(f"""WITH p AS (SELECT p.*, a + 0.1 * (b - a) AS lo, a + 0.9 * (b - a) AS hi, b > a AS up FROM {PAIRS} p JOIN {ENDS} e USING (event_type) WHERE x0 IS NOT NULL)
+SELECT event_type, round((max(hi - lo)) / nullif(min(x0 + (hi - y0) / (y1 - y0) * (x1 - x0)) FILTER (CASE WHEN up THEN y0 < hi AND y1 >= hi ELSE y0 > hi AND y1 <= hi END)
+- min(x0 + (lo - y0) / (y1 - y0) * (x1 - x0)) FILTER (CASE WHEN up THEN y0 < lo AND y1 >= lo ELSE y0 > lo AND y1 <= lo END), 0), 6) AS slew_rate FROM p GROUP BY event_type""")
+def wave_slew_rate(spark, d):
+    return rounded(curves(spark, d).slew_rate(), "slew_rate")
+
+
+@query(f"""SELECT a.event_type, round(500.0 + (a.v - b.v) / 2, 6) AS iip3 FROM (SELECT event_type, value AS v FROM {E} WHERE x = (SELECT 500.0)) a JOIN (SELECT event_type, value * 3 AS v FROM {E} WHERE x = 500.0) b USING (event_type)""")
+def wave_iip3_at_sample(spark, d):
+    """Of the curve that has a sample at 500; the third-order product is three times the curve."""
+    c = curves(spark, d)
+    has = c.df.filter("x = 500").select("event_type")
+    one = Waveform(c.df.join(F.broadcast(has), "event_type", "left_semi"), "value", c.index)
+    return rounded(one.iip3(one * 3, 500.0), "iip3")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import struct
 from functools import cached_property
 
@@ -288,6 +289,7 @@ class BinaryFile(ResultFile):
     def _windows(self) -> list[tuple[int, int]]:
         """(place of the sweep's values, points) of each whole window."""
         out, w, size = [], Words(self.data, self.value_start or self.value_end), disk_dtype(self.sweep.kind).itemsize
+        widest = max((disk_dtype(t.kind).itemsize for t in self.traces), default=0)
         while w.at + 8 <= self.value_end:
             code = w.u32()
             if code == PADDING:
@@ -298,8 +300,11 @@ class BinaryFile(ResultFile):
                 break
             n = w.u32() & 0xFFFF
             at = w.at
+            if n * widest > self.window:
+                raise FormatError(f"{self.path}: {n} points don't fit in a window of {self.window} bytes")
             w.at += n * size + self.window * len(self.traces)
             if w.at > self.value_end:
+                self.cut_off = True
                 break
             out.append((at, n))
         return out
@@ -319,8 +324,9 @@ class BinaryFile(ResultFile):
 
         x = gather(self.sweep.kind, self._windows)
         planned = self.header.get("PSF sweep points")
-        keep = min(len(x), planned) if planned else len(x)
-        return x[:keep], {m: gather(self.signal(m).kind, blocks(m))[:keep] for m in names}
+        if planned and not self.cut_off and len(x) != planned:
+            raise FormatError(f"{self.path}: {len(x)} points where the header announces {planned}")
+        return x, {m: gather(self.signal(m).kind, blocks(m)) for m in names}
 
     def columns(self, names):
         if not self.sweep:
@@ -348,6 +354,14 @@ class BinaryFile(ResultFile):
             return stop is None or all(v[3] >= stop * (1 - 1e-9) for v in self.index.values())
         return super().is_complete
 
+    @property
+    def meta(self):
+        if self.layout != "psfxl" or not os.path.exists(self.path + ".sig"):
+            return {}
+        from .xl_format import metadata
+
+        return metadata(self.path)
+
     # Values without a sweep.
     @cached_property
     def _offsets(self) -> list[tuple[Signal, int]]:
@@ -368,11 +382,13 @@ class BinaryFile(ResultFile):
     def value_signals(self):
         return [s for s, _ in self._offsets]
 
+    @cached_property
+    def _value_places(self) -> dict[str, tuple[Signal, int]]:
+        return {s.name: (s, at) for s, at in reversed(self._offsets)}
+
     def value(self, name):
-        for s, at in self._offsets:
-            if s.name == name:
-                return python_value(s.kind, np.frombuffer(self.data, disk_dtype(s.kind), 1, at)[0])
-        raise KeyError(name)
+        s, at = self._value_places[name]
+        return python_value(s.kind, np.frombuffer(self.data, disk_dtype(s.kind), 1, at)[0])
 
 
 def python_value(kind: Kind, v):

@@ -99,6 +99,8 @@ class ResultFile:
     """One result file. Formats fill in the declarations and read columns; nothing is read before it's asked for."""
 
     format = layout = ""
+    #: Whether the file ends within a window, as that of a running or stopped simulation does.
+    cut_off = False
 
     def __init__(self, path: str):
         self.path = path
@@ -155,6 +157,29 @@ class ResultFile:
     def points(self) -> int:
         return len(self.columns([])[0])
 
+    def __len__(self) -> int:
+        """How many signals there are."""
+        return len(self._by_name)
+
+    @property
+    def meta(self) -> dict[str, str]:
+        """What stands in a file of metadata beside the file, if there is one."""
+        return {}
+
+    def schema(self, names: list[str] | None = None) -> pa.Schema:
+        """Of the wide table: the sweep and the signals. Nothing is read."""
+        signals = [self.signal(n) for n in (self.names if names is None else names)]
+        return _arrow_schema([(s.name, s.kind) for s in ([self.sweep] if self.sweep else []) + signals])
+
+    def long_schema(self, member: str | None = None) -> pa.Schema:
+        """Of the long table: the sweep, `signal`, and `value` of the first signal's type."""
+        if not self.is_swept:
+            raise FormatError(f"{self.path}: not swept")
+        names = self.names if member is None else self.names_with_field(member)
+        if not names:
+            raise KeyError(member)
+        return _arrow_schema([(self.sweep.name, self.sweep.kind), ("signal", Kind("string")), ("value", self.kind_of(names[0], member))])
+
     # Formats fill these in.
     def value_signals(self) -> list[Signal]:
         """Of a file without sweep: its values' declarations."""
@@ -188,6 +213,12 @@ class ResultFile:
         return dict(kind.members)[member]
 
 
+def _arrow_schema(columns: list[tuple[str, Kind]]) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(T.StructType([T.StructField(n, k.spark()) for n, k in columns]))
+
+
 def read_bytes(path: str):
     """The file's bytes: mapped where it is local, else read through Arrow's file systems."""
     if "://" in path and not path.startswith("file://"):

@@ -90,7 +90,10 @@ def values(payload: bytes, points: int) -> np.ndarray:
     """Doubles of a value or axis buffer; single precision, a constant and nothing at all (zeros) are told by their size."""
     if not payload:
         return np.zeros(points)
-    raw = blosc(payload)
+    return _doubles(blosc(payload), points)
+
+
+def _doubles(raw: bytes, points: int) -> np.ndarray:
     for kind in ("<f8", "<f4"):
         size = np.dtype(kind).itemsize
         if len(raw) == points * size:
@@ -100,11 +103,17 @@ def values(payload: bytes, points: int) -> np.ndarray:
     raise FormatError(f"{len(raw)} bytes for {points} points")
 
 
+# Fixed values of the format: the marks of the two variants, and a record's line of hexadecimal fields, the last of which one variant leaves out.
+MARKS = rb"\0!(?:ngpsf|psfxl)-1\.\d+:[^\n]*\n"
+RECORD = re.compile(rb"\0([0-9a-f]+):[0-9a-f]+:([0-9a-f]+):([0-9a-f]+):([0-9a-f]+):[0-9a-f]+:(?:([0-9a-f]+)\.)?([0-9a-f]+)(?::[^\n:]*)?\n")
+DOUBLES = b"3"
+
+
 def _body(file):
     data = getattr(file, "_body", None)
     if data is None:
         data = read_bytes(file.path + ".psfxl")
-        head = re.match(rb"\0!ngpsf-1\.\d+:[^\n]*\n", bytes(data[:256]))
+        head = re.match(MARKS, bytes(data[:256]))
         if not head:
             raise FormatError(f"{file.path}.psfxl: not such a file or another version")
         if bytes(data[head.end() : head.end() + 64]).find(MARK) < 0:
@@ -113,16 +122,34 @@ def _body(file):
     return data
 
 
-def _record(data, at: int):
-    line = bytes(data[at : at + 256])
-    m = re.match(rb"\0([0-9a-f]+):([0-9a-f]+):([0-9a-f]+):([0-9a-f]+):([0-9a-f]+):([0-9a-f]+):([0-9a-f.]+):([0-9a-f]+)\n(\0*)", line)
-    if not m:
-        raise FormatError(f"no record at {at}")
-    prev, points, size, flags = (int(m[i], 16) for i in (3, 4, 5, 6))
-    x, y_size = m[7].decode(), int(m[8], 16)
-    start = at + m.end(8) + 1
-    start += -start % 8  # zero padding
-    return prev, points, size, flags, x, y_size, start
+def _container(data, at: int, points: int) -> tuple[int, int] | None:
+    """(start, end) of the container at a place or after zeros up to the second next word, if one for so many points is there."""
+    near = bytes(data[at : at + 32])
+    zeros = len(near[:16]) - len(near[:16].lstrip(b"\0"))
+    head = near[zeros : zeros + 16]
+    if len(head) < 16 or head[0] != 2 or int.from_bytes(head[4:8], "little") not in (8 * points, 4 * points, 8, 4):
+        return None
+    return at + zeros, at + zeros + int.from_bytes(head[12:16], "little")
+
+
+def _chunk(data, at: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """(place of the record before, axis, values) of one record. Values are a container, a constant as it is, or nothing."""
+    m = RECORD.match(bytes(data[at : at + 256]))
+    if not m or m[1] != DOUBLES:
+        raise FormatError(f"no record of doubles at {at}")
+    prev, points, size, axis_size = (int(m[i], 16) for i in (2, 3, 4, 6))
+    body = at + m.end()
+    axis = at - int(m[5], 16) if m[5] else body + -body % 8
+    x = values(bytes(data[axis : axis + axis_size]), points)
+    start = body if m[5] else axis + axis_size
+    if (found := _container(data, start, points)) is not None:
+        y = values(bytes(data[slice(*found)]), points)
+    else:
+        own = size if m[5] else size - axis_size
+        if own not in (0, 4, 8):
+            raise FormatError(f"the record at {at} holds neither a container nor a constant")
+        y = _doubles(bytes(data[start : start + own]), points) if own else np.zeros(points)
+    return prev, x, y
 
 
 def signal(file, name: str) -> tuple[np.ndarray, np.ndarray]:
@@ -133,16 +160,9 @@ def signal(file, name: str) -> tuple[np.ndarray, np.ndarray]:
         if at in seen or at >= len(data):
             raise FormatError(f"{file.path}: the records of {name} don't end")
         seen.add(at)
-        prev, points, size, flags, x, y_size, start = _record(data, at)
-        if flags == 0x22:
-            x_size = int(x, 16)
-            axis, body = data[start : start + x_size], data[start + x_size : start + x_size + y_size]
-        else:
-            back, x_size = (int(v, 16) for v in x.split("."))
-            axis, body = data[at - back : at - back + x_size], data[start : start + y_size]
-        xs.append(values(bytes(axis), points))
-        ys.append(values(bytes(body), points))
-        at = prev
+        at, x, y = _chunk(data, at)
+        xs.append(x)
+        ys.append(y)
     cat = lambda v: np.concatenate(v[::-1]) if v else np.empty(0)
     return cat(xs), cat(ys)
 
