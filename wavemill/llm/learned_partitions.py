@@ -4,7 +4,8 @@ On a bounded sample (`sample` rows, chosen by the hash of vec_id): the neighbour
 moves that gain edges within a size limit; a small neural classifier then learns, for each vector, the shares of the
 parts among its neighbours. All rows are indexed under their most probable part. A query goes to its several most probable parts, as many as
 reach `recall` on held-out vectors of the sample, and candidates are ranked by the exact distance in double precision.
-Parts are worked on in blocks of rows and queries, so neither a large part nor equal vectors gather in one task.
+Parts are worked on in blocks of rows and queries, so neither a large part nor equal vectors gather in one task. There are about
+sqrt(rows / 64) parts, an eighth of the sample at most (1024, of 67 million rows); beyond that parts grow with the table.
 
 Cases: vectors that are null, zero, hold null or non-finite components or haven't the commonest length take no part;
 fewer than k candidates: all of them; ties go to the smaller vec_id; rows that share a vec_id count as one vector; a
@@ -139,32 +140,41 @@ def _vectors(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def _nearest(k: int, dim: int):
-    """One block of rows against one block of queries: each query's k nearest of these rows."""
+    """One block of rows against one block of queries: each query's k nearest of these rows.
+
+    Rows are preselected by |x|^2 - 2qx + |q|^2 about the block's centre; what its rounding may hide, by a bound from the norms, is
+    kept too. These are ranked by the differences of the vectors as they are."""
+    eps = np.finfo(np.float64).eps
 
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
-        empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        if not len(rows) or not len(queries):
-            return empty
-        ids, first = np.unique(rows["vec_id"].to_numpy(), return_index=True)
-        x = _vectors(rows["embedding"], dim)[first].astype(np.float64)
-        norm = (x * x).sum(axis=1)
-        qid, q = queries["vec_id"].to_numpy(), _vectors(queries["embedding"], dim).astype(np.float64)
-        out = []
-        for i in range(0, len(q), 256):
-            some = q[i : i + 256]
-            d = norm - 2 * (some @ x.T) + (some * some).sum(axis=1)[:, None]
-            for j in range(len(some)):
-                row = d[j]
-                own = np.searchsorted(ids, qid[i + j])
-                if own < len(ids) and ids[own] == qid[i + j]:
-                    row[own] = np.inf
-                top = np.partition(row, k - 1)[k - 1] if len(row) > k else np.inf
-                at = np.flatnonzero((row <= top + 1e-9 * (1 + abs(top))) & np.isfinite(row))
-                exact = np.sqrt(((x[at] - some[j]) ** 2).sum(axis=1))
-                order = np.lexsort((ids[at], exact))[:k]
-                out.append((np.full(len(order), qid[i + j]), ids[at][order], exact[order]))
-        a, b, c = (np.concatenate(v) for v in zip(*out, strict=True))
-        return pa.table({"query_id": a, "vec_id": b, "score": c})
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        if len(rows) and len(queries):
+            ids, first = np.unique(rows["vec_id"].to_numpy(), return_index=True)
+            x = _vectors(rows["embedding"], dim)[first].astype(np.float64)
+            centre = x.mean(axis=0)
+            near = x - centre
+            norm = (near * near).sum(axis=1)
+            far, whole = np.sqrt(norm.max()), np.sqrt((x * x).sum(axis=1).max())
+            qid, q = queries["vec_id"].to_numpy(), _vectors(queries["embedding"], dim).astype(np.float64)
+            for i in range(0, len(q), 256):
+                some, of = q[i : i + 256], qid[i : i + 256]
+                moved = some - centre
+                size = (moved * moved).sum(axis=1)
+                d = norm - 2 * (moved @ near.T) + size[:, None]
+                own = np.minimum(np.searchsorted(ids, of), len(ids) - 1)
+                d[np.flatnonzero(ids[own] == of), own[ids[own] == of]] = np.inf
+                top = np.partition(d, k - 1, axis=1)[:, k - 1] if len(ids) > k else np.full(len(of), np.inf)
+                reach = far + np.sqrt(size)
+                slack = 32 * eps * (dim * reach + whole + np.sqrt((some * some).sum(axis=1))) * reach
+                a, at = np.nonzero((d <= (top + slack)[:, None]) & np.isfinite(d))
+                exact = np.concatenate([np.sqrt(((x[at[c : c + 65_536]] - some[a[c : c + 65_536]]) ** 2).sum(axis=1)) for c in range(0, len(a), 65_536)] or [np.empty(0)])
+                order = np.lexsort((ids[at], exact, a))
+                a, at, exact = a[order], at[order], exact[order]
+                start = np.searchsorted(a, np.arange(len(of)))
+                best = np.arange(len(a)) - start[a] < k
+                out.append((of[a[best]], ids[at[best]], exact[best]))
+        found = [np.concatenate(v) for v in zip(*out, strict=True)]
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), found, strict=True)))
 
     return run
 
@@ -185,7 +195,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, sample: int = 8192,
     taken = good.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / n))).collect()
     x = np.unique(np.array([r["embedding"] for r in taken], np.float32).reshape(-1, dim), axis=0)
     x = x[np.random.default_rng(5).permutation(len(x))]
-    router, probes = fit(x, max(2, min(256, int(np.ceil(np.sqrt(n / 64))))), k, recall) if len(x) > 16 else (Router(dim, 1), 1)
+    router, probes = fit(x, max(2, int(np.ceil(np.sqrt(n / 64)))), k, recall) if len(x) > 16 else (Router(dim, 1), 1)
     parts = len(router.values[3])
 
     def homes(batches):
@@ -216,11 +226,16 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, sample: int = 8192,
             yield pa.RecordBatch.from_arrays([*some, pa.array(part, pa.int32()), pa.array(salts[part], pa.int32())], names=["vec_id", "embedding", "part", "salts"])
 
     asked = good.filter(queries).dropDuplicates(["vec_id"])
-    routed = asked.mapInArrow(routes, f"vec_id bigint, embedding {kind}, part int, salts int")
-    blocks = max(1, -(-asked.count() // query_block))
-    salt_of = F.array(*[F.lit(int(s)) for s in salts])
-    rows = placed.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.element_at(salt_of, F.col("part") + 1)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    routed = routed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")).drop("salts")
+    routed = C.written(asked.mapInArrow(routes, f"vec_id bigint, embedding {kind}, part int, salts int"), C.scratch(spark, "routed"))
+    # A part's rows meet its queries block by block; both numbers of blocks are those that this part needs.
+    asks = np.zeros(parts, np.int64)
+    for r in routed.groupBy("part").count().collect():
+        asks[r["part"]] = r["count"]
+    of_part = lambda counts: F.element_at(F.array(*[F.lit(int(c)) for c in counts]), F.col("part") + 1)
+    blocks = -(-asks // query_block)
+    rows = placed.withColumn("salt", F.pmod(F.xxhash64("vec_id"), of_part(salts)).cast("int")).withColumn("blocks", of_part(blocks)).filter("blocks > 0")
+    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    routed = routed.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), of_part(blocks)).cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
     key = ["part", "salt", "block"]
     found = rows.groupBy(*key).cogroup(routed.groupBy(*key)).applyInArrow(_nearest(k, dim), FOUND)
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
