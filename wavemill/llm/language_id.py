@@ -5,7 +5,7 @@ Each language has a codeword of bits; one logistic classifier per bit reads the
 was right, and takes the codeword of least loss; a small lead over the next flags the text as ambiguous.
 
 It learns from a bounded sample: about `sample` documents in all, evenly over all languages, and a LANGS-th of that for each
-where there are more than LANGS, chosen by the hash of doc_id. The number of bits grows with the logarithm of the languages.
+where there are more than LANGS, chosen by the hash of doc_id. The number of bits grows with the languages until any two codewords differ in three bits at least.
 Cases: null text or no letter: `und`, score 0; null languages aren't learned from; no labelled row: `und` for all; one
 language only: that one; repeated rows are predicted each; other columns are ignored.
 """
@@ -59,6 +59,23 @@ def codewords(n: int, bits: int) -> np.ndarray:
     return best
 
 
+def gap(code: np.ndarray) -> int:
+    """In how many bits the closest two codewords differ."""
+    if len(code) < 2:
+        return code.shape[1]
+    near = code.astype(np.float32) @ code.T.astype(np.float32)
+    return int((code.shape[1] - near[~np.eye(len(code), dtype=bool)].max()) // 2)
+
+
+def apart(n: int, bits: int, least: int = 3) -> np.ndarray:
+    """n codewords of `bits` bits, or as many more as it takes for any two to differ in `least`, so that one wrong bit is corrected."""
+    code = codewords(n, bits)
+    while gap(code) < least:
+        bits += 4
+        code = codewords(n, bits)
+    return code
+
+
 class Codes:
     def __init__(self, langs: list[str], code, w, b, trust):
         self.langs, self.code, self.w, self.b, self.trust = langs, code, w, b, trust
@@ -97,8 +114,8 @@ def learn(docs: DataFrame, of: Column, sample: int = 4000, bits: int = 15) -> Co
     langs = sorted({r["lang"] for r in rows})
     x = np.frombuffer(b"".join(r["x"] for r in rows), np.float32).reshape(-1, DIM) * np.float32(SCALE)
     y = np.searchsorted(langs, [r["lang"] for r in rows])
-    bits = max(bits, 4 * (len(langs) - 1).bit_length())
-    code = codewords(len(langs), bits)
+    code = apart(len(langs), max(bits, 4 * (len(langs) - 1).bit_length()))
+    bits = code.shape[1]
     target = code[y].astype(np.float32)
     weight = (1 / np.bincount(y)[y]).astype(np.float32)
     weight /= weight.sum()
@@ -118,19 +135,13 @@ def predict(docs: DataFrame, codes: Codes | None, ambiguous: float = 0.2) -> Dat
 
     def run(batches):
         for batch in batches:
-            names, scores, leads = [], [], []
-            has = batch.column(2).to_pylist()
-            for i, j, b, off in B.chunks(batch.column(1), rows=ROWS):
-                if codes is None:
-                    names += ["und"] * (j - i)
-                    scores += [0.0] * (j - i)
-                    leads += [0.0] * (j - i)
-                    continue
-                k, p, lead = codes.decode(shares(b, off))
-                for r in range(j - i):
-                    names.append(codes.langs[k[r]] if has[i + r] else "und")
-                    scores.append(float(p[r]) if has[i + r] else 0.0)
-                    leads.append(float(lead[r]) if has[i + r] else 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array([x < ambiguous for x in leads], pa.bool_())], names=["doc_id", "lang_pred", "score", "ambiguous"])
+            has = batch.column(2).to_numpy(zero_copy_only=False).astype(bool) & (codes is not None)
+            k, p, lead = np.zeros(len(has), np.int64), np.zeros(len(has)), np.zeros(len(has))
+            if codes is not None:
+                for i, j, b, off in B.chunks(batch.column(1)):
+                    k[i:j], p[i:j], lead[i:j] = codes.decode(shares(b, off))
+            langs = pa.array([*(codes.langs if codes else []), "und"])
+            names = langs.take(pa.array(np.where(has, k, len(langs) - 1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), names, pa.array(np.where(has, p, 0.0)), pa.array(np.where(has, lead, 0.0) < ambiguous)], names=["doc_id", "lang_pred", "score", "ambiguous"])
 
     return docs.select("doc_id", "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters")).mapInArrow(run, "doc_id bigint, lang_pred string, score double, ambiguous boolean")
