@@ -1,12 +1,14 @@
 """Toxicity by weak supervision.
 
 Voters are lexicon words and patterns (words that begin with given letters), mined from the labelled rows of the
-learning folds: each votes "toxic" where it fires; one more votes "clean" where none fires. A generative label model estimates by expectation
-maximisation, on a sample that needs no labels, how often each voter fires in either class; voters whose firing is
+learning folds, as no lexicon is given for these languages: each votes "toxic" where it fires; one more votes "clean" where none fires. A
+generative label model, whose classes the labels anchor, estimates by expectation
+maximisation, on labelled and other rows, how often each voter fires in either class; voters whose firing is
 correlated beyond what the class explains form groups, and a group's votes count as one. Its posterior labels train a linear
 classifier over the voters and their number, which scores all texts.
 
-Samples are bounded: about `sample` labelled rows of either label and `unlabelled` others, chosen by the hash of doc_id.
+Samples are bounded: about `sample` labelled rows of either label and `unlabelled` others, chosen by the hash of doc_id; terms are
+counted where the texts are.
 Cases: null text is empty and scored; null labels aren't learned from; without any toxic row learned from, all score 0;
 repeated rows are scored each; other columns are ignored.
 """
@@ -18,11 +20,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common as C
 from . import textbytes as B
 from .linear import Adam, sigmoid
 
+#: The bit of a feature's hash that tells words from beginnings.
+WORD = np.uint64(1 << 40)
 #: Lengths in bytes of the beginnings that may become patterns.
 BEGINNINGS = (4, 5, 6)
+#: Least share of toxic rows, both labels weighing alike, among those that a voter fires in: of words, and of beginnings, which many words have.
+WORD_PURITY, BEGINNING_PURITY = 0.97, 0.995
 _TRIM = np.zeros(256, bool)
 _TRIM[list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")] = True
 
@@ -46,11 +53,11 @@ def features(b: np.ndarray, off: np.ndarray, spans: B.Spans) -> tuple[np.ndarray
     if not len(start):
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     prefix = spans.prefix(low)
-    rows, out = [row], [spans.span(prefix, start, end) ^ B.fmix((end - start).astype(np.uint64))]
+    rows, out = [row], [(spans.span(prefix, start, end) ^ B.fmix((end - start).astype(np.uint64))) | WORD]
     for k in BEGINNINGS:
         at = end - start > k
         rows.append(row[at])
-        out.append(spans.span(prefix, start[at], start[at] + k) ^ B.fmix(np.full(1, k + 1000, np.uint64)))
+        out.append((spans.span(prefix, start[at], start[at] + k) ^ B.fmix(np.full(1, k + 1000, np.uint64))) & ~WORD)
     return np.concatenate(rows), np.concatenate(out)
 
 
@@ -83,9 +90,19 @@ class Voters:
         return out
 
 
-def mine(rows: list[tuple[np.ndarray, int]], least: int = 3, purity: float = 0.995) -> np.ndarray:
-    """Features of toxic texts that chance doesn't explain: the log-likelihood ratio against the share of toxic rows is
-    over the logarithm of the number of features tried. All of them, the best first."""
+def passing(u: np.ndarray, n: np.ndarray, m: np.ndarray, toxic: int, clean: int, tried: int, purity: float) -> np.ndarray:
+    """Of features u in n toxic and m clean rows: those that chance doesn't explain. The log-likelihood ratio against the share of toxic
+    rows is over the logarithm of the number of features tried. The best first."""
+    base = np.clip(toxic / max(1, toxic + clean), 0.01, 0.5)
+    share = np.clip(n / (n + m), 1e-9, 1 - 1e-9)
+    ratio = n * np.log(share / base) + m * np.log((1 - share) / (1 - base))
+    balanced = n / (n + m * toxic / max(1, clean))
+    good = np.flatnonzero((share > base) & (balanced >= purity) & (ratio >= np.log(max(1, tried)) + 2))
+    return u[good[np.lexsort((u[good], -ratio[good]))]]
+
+
+def mine(rows: list[tuple[np.ndarray, int]], least: int = 3, purity: float = BEGINNING_PURITY) -> np.ndarray:
+    """The passing features of rows (features, label)."""
     toxic, clean = ([x for x, y in rows if y == label] for label in (1, 0))
     if not toxic:
         return np.empty(0, np.uint64)
@@ -96,13 +113,7 @@ def mine(rows: list[tuple[np.ndarray, int]], least: int = 3, purity: float = 0.9
         c, k = np.unique(np.concatenate(clean), return_counts=True)
         at = np.minimum(np.searchsorted(c, u), len(c) - 1)
         m = np.where(c[at] == u, k[at], 0)
-    base = np.clip(len(toxic) / len(rows), 0.01, 0.5)
-    share = np.clip(n / (n + m), 1e-9, 1 - 1e-9)
-    ratio = n * np.log(share / base) + m * np.log((1 - share) / (1 - base))
-    balanced = n / (n + m * len(toxic) / max(1, len(clean)))
-    good = np.flatnonzero((share > base) & (balanced >= purity) & (ratio >= np.log(max(1, len(u))) + 2))
-    order = good[np.lexsort((u[good], -ratio[good]))]
-    return u[order]
+    return passing(u, n, m, len(toxic), len(clean), len(u), purity)
 
 
 def label_model(fired: np.ndarray, start: np.ndarray, known: np.ndarray, rounds: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
@@ -153,37 +164,46 @@ def learn(docs: DataFrame, labels: DataFrame, of: Column, sample: int = 4000, un
     take = lambda n, most: (1 << 20) * min(1.0, most / max(1, n))
     chosen = known.filter(bucket < F.when(F.col("y") == 1, take(counts.get(1, 0), sample)).otherwise(take(counts.get(0, 0), sample)))
 
-    def every(batches):
+    def counted(batches):
         spans = B.Spans()
         for batch in batches:
-            for i, j, b, off in B.chunks(batch.column(2)):
+            y = batch.column(1).to_numpy()
+            for i, _, b, off in B.chunks(batch.column(2)):
                 row, h = _distinct(*features(b, off, spans))
-                edge = np.searchsorted(row, np.arange(j - i + 1))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array([h[edge[x] : edge[x + 1]].tobytes() for x in range(j - i)], pa.binary())], names=["doc_id", "y", "x"])
+                u, at = np.unique(h, return_inverse=True)
+                toxic = np.bincount(at, weights=y[i + row] == 1, minlength=len(u)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(toxic), pa.array(np.bincount(at, minlength=len(u)) - toxic)], names=["h", "n", "m"])
 
     base = docs.select("doc_id", "text")
-    rows = base.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text").mapInArrow(every, "doc_id bigint, y int, x binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["x"]))
-    found = [(np.frombuffer(r["x"], "<u8"), r["y"]) for r in rows]
-    voters = Voters(mine(found))
+    rows = base.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
+    terms = rows.mapInArrow(counted, "h bigint, n bigint, m bigint").groupBy("h").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).filter("n >= 3")
+    terms = C.written(terms, C.scratch(docs.sparkSession, "terms"))
+    size = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    toxic, clean, tried = size.get(1, 0), size.get(0, 0), terms.count()
+    # Only terms that may pass come to the driver; a sample of bounded size has few.
+    likely = terms.filter(F.col("n") / (F.col("n") + F.col("m") * toxic / max(1, clean)) >= WORD_PURITY).toArrow()
+    u, n, m = likely["h"].to_numpy().view(np.uint64), likely["n"].to_numpy(), likely["m"].to_numpy()
+    word = u & WORD > 0
+    found = [passing(u[of], n[of], m[of], toxic, clean, tried, purity) for of, purity in ((word, WORD_PURITY), (~word, BEGINNING_PURITY))]
+    voters = Voters(np.concatenate(found))
 
     def votes(batches):
         spans = B.Spans()
         for batch in batches:
             for i, j, b, off in B.chunks(batch.column(1)):
                 fired = np.packbits(voters.fired(b, off, spans), axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([x.tobytes() for x in fired], pa.binary())], names=["doc_id", "votes"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([x.tobytes() for x in fired], pa.binary()), batch.column(2).slice(i, j - i)], names=["doc_id", "votes", "y"])
 
     k = len(voters.hashes)
     if not k:
         return Linear(voters, np.zeros(2, np.float32), -20.0)
     total = docs.count()
-    others = base.filter(bucket >= (1 << 20) - take(total, unlabelled)).mapInArrow(votes, "doc_id bigint, votes binary").collect()
-    others.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["votes"]))
-    more = np.unpackbits(np.frombuffer(b"".join(r["votes"] for r in others), np.uint8).reshape(len(others), -1), axis=1)[:, :k].astype(bool)
-    own = np.array([np.isin(voters.hashes, x) for x, _ in found]).reshape(-1, k)
-    fired = np.concatenate([own, more])
-    post, *_ = label_model(fired, (fired.sum(axis=1) > 0) * 0.9 + 0.05, np.array([y for _, y in found], float))
+    others = base.filter(bucket >= (1 << 20) - take(total, unlabelled)).withColumn("y", F.lit(None).cast("int"))
+    voted = rows.select("doc_id", "text", "y").unionByName(others).mapInArrow(votes, "doc_id bigint, votes binary, y int").collect()
+    voted.sort(key=lambda r: (r["y"] is None, r["doc_id"] is None, r["doc_id"] or 0, r["votes"]))
+    known = np.array([r["y"] for r in voted if r["y"] is not None], float)
+    fired = np.unpackbits(np.frombuffer(b"".join(r["votes"] for r in voted), np.uint8).reshape(len(voted), -1), axis=1)[:, :k].astype(bool)
+    post, *_ = label_model(fired, (fired.sum(axis=1) > 0) * 0.9 + 0.05, known)
     x = Linear.inputs(fired)
     w, b = np.zeros(x.shape[1], np.float32), np.zeros(1, np.float32)
     opt = Adam(w.shape, b.shape, rate=0.05)
