@@ -34,7 +34,7 @@ from . import textbytes as B
 
 END = np.uint64(0x5851F42D4C957F2D)
 HOT_SPREAD = 64
-PASSES, BLOCK = 4, 16
+PASSES, BLOCK = 3, 16
 BLOB = "bucket int, blob binary"
 
 
@@ -387,12 +387,20 @@ def train(texts: DataFrame, order: int = 2) -> Model:
     start_id = v
     C.release(spark)
 
+    if v + 2 > 1 << 32:
+        raise ValueError(f"{v} distinct words: ids of 32 bits hold {(1 << 32) - 2} at most")
+
+    def frequent(batches):
+        for batch in batches:
+            found = []
+            for i in batch.column(0).to_numpy().tolist():
+                c = mapped(folder, f"word-{i}", "c", "<i8")
+                found.append(np.flatnonzero(c > max(1000, n // 1000)) + starts[i])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], names=["id"])
+
     # Contexts with over a thousandth of the tokens, so a thousand at most, are spread.
-    hot = []
-    for i in range(buckets):
-        c = mapped(folder, f"word-{i}", "c", "<i8")
-        hot += (np.flatnonzero(c > max(1000, n // 1000)) + starts[i]).tolist()
-    hot = np.asarray([*hot, start_id], np.uint64)
+    hot = [r["id"] for r in spark.range(buckets).mapInArrow(frequent, "id bigint").collect()]
+    hot = np.asarray([*sorted(hot), start_id], np.uint64)
     pair_buckets = C.buckets_for(spark, rows, 4096)
     id_buckets = buckets
     id_span = -(-(v + 1) // id_buckets)

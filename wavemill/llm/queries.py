@@ -93,7 +93,6 @@ QUERIES = {
     "op3_host_rules": op3_host_rules,
     "op4_packing": op4_packing,
     "op5_parity_join": op5_parity_join,
-    "op6_ngram_lm": op6_ngram_lm,
     "op6_trigram_lm": op6_trigram_lm,
     "op7_mixing": op7_mixing,
     "op8_language_id": op8_language_id,
