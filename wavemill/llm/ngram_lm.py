@@ -538,7 +538,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         spans, of = B.Spans(), Model(**parts).scorer()
         for batch in batches:
             out = []
-            for i, j, b, off in B.chunks(batch.column(len(kept)), 2 * B.CHUNK):
+            for i, j, b, off in B.chunks(batch.column(len(kept)), 4 * B.CHUNK):
                 rows, h = tokens(b, off, spans)
                 out.append(of(rows, h, j - i))
             columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.empty(0)] * 4

@@ -414,15 +414,23 @@ def _in_doubt(percent: int):
     return run
 
 
+def all_of(conditions):
+    out = F.lit(True)
+    for x in conditions:
+        out = out & x
+    return out
+
+
 def _dealt(rows: DataFrame, heads: DataFrame, on: tuple[str, ...] = ("head",), each: int = 250) -> tuple[DataFrame, DataFrame]:
     """rows and heads, which share the columns `on`, with a salt: the rows of a head with over `each` of them are dealt to several salts,
     and the head goes to all. Hot heads have over a ten-thousandth of the rows, so that there are 10,000 at most to broadcast."""
     counts = rows.groupBy(*on).agg(F.count("*").alias("rows"))
     most = max(each, rows.count() // 10_000)
     hot = counts.filter(F.col("rows") > most).select(*on, F.ceil(F.col("rows") / each).cast("int").alias("salts"))
-    # A row that matches none, so that tables with and without hot heads are planned alike.
-    none = rows.sparkSession.range(1).select(*[F.lit(None).cast("long").alias(c) for c in on], F.lit(1).alias("salts"))
-    hot = F.broadcast(hot.unionByName(none))
+    # A row of one salt, which changes nothing, so that tables with and without hot heads are planned alike.
+    one = rows.sparkSession.range(1).select(*[F.lit(C.NULL_ID).alias(c) for c in on], F.lit(1).alias("salts"))
+    other = ~all_of(F.col(c) == C.NULL_ID for c in on)
+    hot = F.broadcast(hot.filter(other).unionByName(one))
     salts = F.coalesce("salts", F.lit(1))
     dealt = rows.join(hot, [*on], "left").withColumn("salt", F.pmod(F.xxhash64("_id"), salts).cast("int")).drop("salts")
     return dealt, heads.join(hot, [*on], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
