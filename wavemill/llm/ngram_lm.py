@@ -34,7 +34,7 @@ from . import textbytes as B
 
 END = np.uint64(0x5851F42D4C957F2D)
 HOT_SPREAD = 64
-PASSES, BLOCK = 3, 16
+PASSES, BLOCK = 2, 16
 BLOB = "bucket int, blob binary"
 
 
