@@ -1,10 +1,13 @@
 import hashlib
+import struct
+import warnings
 import zlib
 
 import numpy as np
 import pandas as pd
 import plain
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -285,6 +288,28 @@ def test_mixing(spark, sf):
     np.testing.assert_allclose(cells.weight * cells.tokens, want, rtol=1e-3)
     assert (cells.p * cells.tokens).sum() == pytest.approx(0.8 * cells.tokens.sum()) and cells.p.max() <= 1
     assert got.shape[0] == documents(spark, sf).count()
+    assert [drawn(r.doc_id) < r.probability for r in got.itertuples()] == got.kept.tolist()
+
+
+def drawn(doc_id, seed=17):
+    """A document's number in [0, 1): two chained 64-bit hashes, the first started with 42."""
+    first = xxhash.xxh64_intdigest(struct.pack("<q", doc_id), 42)
+    return xxhash.xxh64_intdigest(struct.pack("<i", seed), first) % (1 << 52) / (1 << 52)
+
+
+def test_raking_goes_on_until_the_marginals_are_met(spark):
+    rows = [(s, x, "t", 800 if (s == "a") == (x == "x") else 100) for s in "ab" for x in "xy"]
+    cells = spark.createDataFrame(rows, "_source string, _lang string, _topic string, tokens long")
+    targets = {"source": {"a": 0.9, "b": 0.1}, "lang": {"x": 0.3, "y": 0.7}, "topic": {"t": 1.0}}
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        got = mixing.rake(cells, targets, sweeps=1).toPandas()
+    for d, want in targets.items():
+        assert (got.groupby(f"_{d}").weight.sum() / 1800).to_dict() == pytest.approx(want, abs=1e-5)
+    # Only (a, x) and (b, y) have tokens: no weights give half to a and a fifth to x.
+    apart = cells.filter("tokens = 800")
+    with pytest.warns(UserWarning, match="came to a stand"):
+        mixing.rake(apart, {"source": {"a": 0.5, "b": 0.5}, "lang": {"x": 0.2, "y": 0.8}, "topic": {"t": 1.0}}, sweeps=1)
 
 
 def test_mixing_of_odd_documents(odd, none):

@@ -13,6 +13,9 @@ Cases: null text has no tokens and probability 0 only if its cell has none at al
 
 from __future__ import annotations
 
+import itertools
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -51,9 +54,11 @@ def keyed(docs: DataFrame) -> DataFrame:
     return out.withColumns({"_source": F.coalesce(docs["source"], F.lit("")), "_lang": F.coalesce(docs["lang"], F.lit("")), "_topic": topic(docs["text"], F.col("_tokens"))})
 
 
-def rake(cells: DataFrame, targets: dict | None = None, tolerance: float = 1e-6, most: int = 20, sweeps: int = 2) -> DataFrame:
+def rake(cells: DataFrame, targets: dict | None = None, tolerance: float = 1e-6, sweeps: int = 2) -> DataFrame:
     """cells (_source, _lang, _topic, tokens) with weight, whose marginals are the targets' shares of all tokens. `sweeps` over the
-    marginals make one step, which is written; there are `most` steps at most."""
+    marginals make one step, which is written. Steps go on until the marginals are met within `tolerance` of all tokens. Targets that
+    no weights of these cells meet (a language wanted from no source that may have it) are told by steps that come no nearer: the
+    last marginal, topic, is met then, and a warning says how far the others are off."""
     spark = cells.sparkSession
     path = C.scratch(spark, "raking")
     cells = C.written(cells.filter("tokens > 0"), f"{path}/cells")
@@ -73,7 +78,8 @@ def rake(cells: DataFrame, targets: dict | None = None, tolerance: float = 1e-6,
     for d in DIMS:
         state = state.join(goals[d].withColumnRenamed("goal", f"_goal_{d}"), f"_{d}")
     state = C.written(state, f"{path}/start")
-    for turn in range(most):
+    last = float("inf")
+    for turn in itertools.count():
         for d in DIMS * sweeps:  # windows read the state once; a sum joined back would read it twice, and its plan double each time
             have = F.sum("weight").over(Window.partitionBy(f"_{d}"))
             state = state.withColumn("weight", F.when(have > 0, F.col("weight") * F.col(f"_goal_{d}") / have).otherwise(0.0))
@@ -83,8 +89,12 @@ def rake(cells: DataFrame, targets: dict | None = None, tolerance: float = 1e-6,
         # The last marginal is met; how far are the others?
         far = [state.groupBy(f"_{d}").agg(F.abs(F.sum("weight") - F.first(f"_goal_{d}")).alias("far")).select("far") for d in DIMS[:-1]]
         off = far[0].unionByName(far[1]).agg(F.max("far")).first()[0] or 0.0
-        if off < tolerance * max(total, 1):
+        if off <= tolerance * max(total, 1):
+            break
+        if off > 0.999 * last:
+            warnings.warn(f"raking came to a stand after {turn + 1} steps: a marginal is off its target by {off / total:.2g} of all tokens", stacklevel=2)
             break
+        last = off
     return state.select(*cells.columns, "weight")
 
 
@@ -105,8 +115,12 @@ def calibrated(cells: DataFrame, fraction: float) -> DataFrame:
 
 
 def mix(docs: DataFrame, targets: dict | None = None, fraction: float = 0.8, seed: int = 17) -> DataFrame:
-    """docs with _tokens, _topic, _weight (of a token), _probability and _kept."""
-    all_docs = keyed(docs.drop("_tokens", "_source", "_lang", "_topic", "_weight", "_probability", "_kept"))
+    """docs with _tokens, _topic, _weight (of a token), _probability and _kept. Texts are read twice: for the cells, and with the result."""
+    return weighted(keyed(docs.drop("_tokens", "_source", "_lang", "_topic", "_weight", "_probability", "_kept")), targets, fraction, seed)
+
+
+def weighted(all_docs: DataFrame, targets: dict | None = None, fraction: float = 0.8, seed: int = 17) -> DataFrame:
+    """mix() of keyed documents."""
     cells = all_docs.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("tokens"))
     found = calibrated(rake(cells, targets), fraction).select("_source", "_lang", "_topic", (F.col("weight") / F.col("tokens")).alias("_weight"), F.col("probability").alias("_probability"))
     out = all_docs.join(found, ["_source", "_lang", "_topic"], "left").fillna(0.0, ["_weight", "_probability"])
