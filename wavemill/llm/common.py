@@ -19,11 +19,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset (tests) a local one is made."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset and all tasks
+    run in this process (tests) a local one is made."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not at:
         at = sc._jsc.sc().getCheckpointDir()
+        if not at.isDefined() and sc.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = at.get() if at.isDefined() else f"file://{tempfile.mkdtemp(prefix='wavemill-')}"
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(at)
