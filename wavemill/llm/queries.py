@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language_id, ngram_lm, oracles, quality_fm, toxicity
-from .common import read
+from .common import read, scratch, written
 from .host_rules import host_rules
 from .learned_partitions import search
-from .mixing import mix
+from .mixing import keyed, weighted
 from .packing import pack, token_pieces
 from .parity_join import jaccard_components
 from .suffix_dedup import suffix_dedup
@@ -64,7 +64,8 @@ def op6_trigram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(read(spark, sf_dir, "documents")).select(
+    cells = keyed(read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")).drop("text")
+    return weighted(written(cells, scratch(spark, "cells"))).select(
         "doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.col("_weight").alias("weight"), F.col("_probability").alias("probability"), F.col("_kept").alias("kept")
     )
 
