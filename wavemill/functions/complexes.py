@@ -55,7 +55,8 @@ def log10(x: Column) -> Column:
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b with infinities and NaN."""
-    return F.when(b == 0, F.when((a == 0) | F.isnan(a), F.lit(math.nan)).otherwise(F.signum(a) * F.lit(math.inf))).otherwise(a / F.when(b == 0, F.lit(1.0)).otherwise(b))
+    # A zero's power of -1 is the infinity of its sign.
+    return F.when(b == 0, a * F.pow(b, F.lit(-1.0))).otherwise(a / F.when(b == 0, F.lit(1.0)).otherwise(b))
 
 
 def db20_real(x: Column) -> Column:

@@ -20,6 +20,13 @@ def round_sig_figs(c: Column, digits: int) -> Column:
     return F.when(c == 0, F.lit(0.0)).otherwise(F.round(c * scale) / scale)
 
 
+def round_scaled(c: Column, digits: int) -> Column:
+    """Rounded as SQL engines do that scale, round to a whole number and scale back; Spark's round() takes the written digits, so ties can differ."""
+    scale = F.lit(10.0**digits)
+    out = F.round(c * scale) / scale
+    return F.when(F.abs(out) < float("inf"), out).otherwise(c)
+
+
 def bucket(c: Column, width: float) -> Column:
     """The start of the bucket of this width that the value is in."""
     return F.floor(c / width) * width

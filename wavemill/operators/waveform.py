@@ -31,6 +31,9 @@ class Waveform:
         self.df, self.yname, self.index = df, name, list(index)
         self.units, self._n = dict(units or {}), n
         self._segments = segments
+        # A waveform made of another sample by sample names that one as its root and how it is made of the root's table, whose
+        # other columns are carried along: two with one root are paired within its rows.
+        self._root, self._made = self, lambda frame, carried: frame
 
     # Metadata.
     groups = property(lambda self: self.index[:-1])
@@ -86,8 +89,12 @@ class Waveform:
     def _with(self, value: Column, name: str | None = None, unit: str | None = "same", n="same", df: DataFrame | None = None) -> Waveform:
         name = name or self.yname
         units = {k: v for k, v in self.units.items() if k in self.index} | {name: self.yunit if unit == "same" else unit}
+        by_row = df is None or df is self.df
         df = (self.df if df is None else df).select(*map(q, self.index), value.alias(name))
-        return Waveform(df, name, self.index, units, self._n if n == "same" else n, self._segments)
+        out = Waveform(df, name, self.index, units, self._n if n == "same" else n, self._segments)
+        if by_row:
+            out._root, out._made = self._root, lambda frame, carried: self._made(frame, carried).select(*map(q, self.index), value.alias(name), *carried)
+        return out
 
     def renamed(self, name: str) -> Waveform:
         return self._with(self._y, name)
@@ -165,15 +172,37 @@ class Waveform:
         if operation == "pow":
             raise NotImplementedError("waveform ** waveform")
         name = f"({self.yname} {SYMBOLS[operation]} {other.yname})"
-        a = self.df.select(*map(q, self.index), self._y.alias("_a"), F.lit(True).alias("_in_a"))
-        b = other.df.select(*map(q, other.index), other._y.alias("_b"), F.lit(True).alias("_in_b"))
-        both = a.join(b, self.index, "full")
-        # One join looks for samples without a partner and pairs the others; odd ones are told before a result is handed out.
-        odd = both.filter(F.col("_in_a").isNull() | F.col("_in_b").isNull())
-        if odd.limit(1).count():
-            raise ValueError("the waveforms have different axes")
+        units = {k: v for k, v in self.units.items() if k in self.index} | {name: None}
+        if self._root is other._root:
+            made = self._paired(other, operation, name)
+            root = self._root
+            out = Waveform(made(root.df.select(*map(q, [*root.index, root.yname])), []), name, self.index, units, self._n, self._segments)
+            out._root, out._made = root, made
+            return out
+        # Groups tell null parameters apart, which a join would drop.
+        a = self.df.select(*map(q, self.index), F.lit(1).alias("_in_a"), F.lit(0).alias("_in_b"), self._y.alias("_a"), F.lit(None).cast(other.df.schema[other.yname].dataType).alias("_b"))
+        b = other.df.select(*map(q, other.index), F.lit(0).alias("_in_a"), F.lit(1).alias("_in_b"), F.lit(None).cast(self.df.schema[self.yname].dataType).alias("_a"), other._y.alias("_b"))
+        both = a.union(b).groupBy(*map(q, self.index)).agg(F.sum("_in_a").alias("_in_a"), F.sum("_in_b").alias("_in_b"), F.first("_a", True).alias("_a"), F.first("_b", True).alias("_b"))
+        # Odd samples are told before a result is handed out: those without a partner, and repeated ones, whose partners nothing tells.
+        odd = both.filter("_in_a <> 1 OR _in_b <> 1").select("_in_a", "_in_b").first()
+        if odd:
+            raise ValueError("the waveforms have different axes" if odd["_in_a"] != odd["_in_b"] else "the waveforms repeat samples, so partners can't be told")
         value = arithmetic(operation, F.col("_a"), F.col("_b"), self.is_complex, other.is_complex)
-        return Waveform(both.select(*map(q, self.index), value.alias(name)), name, self.index, {k: v for k, v in self.units.items() if k in self.index} | {name: None}, self._n, self._segments)
+        return Waveform(both.select(*map(q, self.index), value.alias(name)), name, self.index, units, self._n, self._segments)
+
+    def _paired(self, other: Waveform, operation, name: str):
+        """How the combination of two waveforms with one root is made of the root's table: sample by sample, so repeated samples and null
+        parameters stay rows of their own."""
+
+        def made(frame: DataFrame, carried: list[str]) -> DataFrame:
+            # The root's values are kept while the left side is made of them, then the left side while the right one is.
+            values, left = f"_values{len(carried)}", f"_left{len(carried)}"
+            index, root = [*map(q, self.index)], self._root.yname
+            frame = self._made(frame.withColumn(values, F.col(q(root))), [*carried, values])
+            frame = other._made(frame.select(*index, self._y.alias(left), F.col(values).alias(root), *carried), [*carried, left])
+            return frame.select(*index, arithmetic(operation, F.col(left), other._y, self.is_complex, other.is_complex).alias(name), *carried)
+
+        return made
 
     def __add__(self, other):
         return self._combined(other, "add")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import complexes as cx
-from ..functions.scalars import bucket, equal, round_sig_figs
+from ..functions.scalars import bucket, equal, round_scaled, round_sig_figs
 from ..functions.scalars import horizontal_sum as added
 from ..operators import relational as R
 from ..operators.waveform import Waveform
@@ -144,7 +144,7 @@ def wave_clip_leaf(spark, d):
 @query(f"SELECT event_type, x, round((value * 2 + 1) / value, 6) AS y FROM {E}")
 def wave_binop_aligned(spark, d):
     c = curves(spark, d)
-    return rounded(((c * 2 + 1) / c).renamed("y").df, "y")
+    return ((c * 2 + 1) / c).renamed("y").df.withColumn("y", round_scaled(F.col("y"), 6))
 
 
 @query(f"SELECT event_type, round(b.x - a.x, 6) AS delay FROM (SELECT event_type, min({CROSS}) AS x FROM {PAIRS} WHERE y0 < 100 AND y1 >= 100 GROUP BY 1) a JOIN (SELECT event_type, min(x0 + (50.0 - y0) / (y1 - y0) * (x1 - x0)) AS x FROM (SELECT event_type, x0, x1, y0 / 2 AS y0, y1 / 2 AS y1 FROM {PAIRS}) WHERE y0 < 50 AND y1 >= 50 GROUP BY 1) b USING (event_type)")
