@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from wavemill.llm import common, host_rules, language_id, learned_partitions, mixing, ngram_lm, packing, parity_join, quality_fm, queries, suffix_dedup, textbytes, toxicity
+from wavemill.llm import common, components, host_rules, language_id, learned_partitions, mixing, ngram_lm, packing, parity_join, quality_fm, queries, suffix_dedup, textbytes, toxicity
 
 
 def documents(spark, sf):
@@ -393,6 +393,24 @@ def test_label_model_learns_rates():
     assert np.allclose(rate[1][:5], 0.7, atol=0.06)
 
 
+def test_release_gives_memory_back(spark, monkeypatch):
+    jvm, kind = spark._jvm, "com.sun.management.HotSpotDiagnosticMXBean"
+    run = jvm.java.lang.Runtime.getRuntime()
+    kept, held = jvm.java.util.ArrayList(30_000_000), jvm.java.util.ArrayList(120_000_000)  # 120 MB, 480 MB
+    spark.sparkContext._gateway.detach(held)
+    common.release(spark)
+    total = run.totalMemory()
+    assert kept.isEmpty() and total < 2.2 * (total - run.freeMemory()) + (16 << 20)
+    bean = jvm.java.lang.management.ManagementFactory.getPlatformMXBean(jvm.java.lang.Class.forName(kind))
+    assert "value: 50" in common._call(spark, kind, bean, "getVMOption", {"java.lang.String": "MaxHeapFreeRatio"}).toString()
+    # Rounds release too, not only their end.
+    times = []
+    monkeypatch.setattr(common, "release", times.append)
+    links = spark.range(40).selectExpr("id as a", "id + 1 as b")
+    assert {r["label"] for r in components.components(links).collect()} == {0}
+    assert len(times) > 2
+
+
 def test_registered_queries():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
     assert set(queries.ORACLES) <= set(queries.QUERIES)

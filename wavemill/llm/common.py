@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,11 +53,30 @@ def written(df: DataFrame, path: str, *by: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished steps, which it does when the JVM collects its garbage."""
+    """Lets Spark delete the shuffle files of finished steps, which it does when the JVM collects its garbage, and the driver give
+    back the memory that they took: its heap shrinks to twice what is alive, freed native memory goes to the system. A JVM that
+    can't do so goes without; its heap keeps that ratio afterwards."""
     import gc
 
     gc.collect()
-    spark._jvm.System.gc()
+    jvm = spark._jvm
+    beans = jvm.java.lang.management.ManagementFactory
+    with contextlib.suppress(Py4JError):
+        kind = "com.sun.management.HotSpotDiagnosticMXBean"
+        _call(spark, kind, beans.getPlatformMXBean(jvm.java.lang.Class.forName(kind)), "setVMOption", {"java.lang.String": "MaxHeapFreeRatio"}, {"java.lang.String": "50"})
+    jvm.System.gc()
+    with contextlib.suppress(Py4JError):
+        name = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        _call(spark, "javax.management.MBeanServer", beans.getPlatformMBeanServer(), "invoke", {"javax.management.ObjectName": name}, {"java.lang.String": "systemTrimNativeHeap"}, {"[Ljava.lang.Object;": None}, {"[Ljava.lang.String;": None})
+
+
+def _call(spark: SparkSession, kind: str, bean, method: str, *given: dict):
+    """bean.method(...) by the method of its interface, as the classes of the JVM's beans can't be reached; given: {type: value} each."""
+    gateway, jvm = spark.sparkContext._gateway, spark._jvm
+    kinds, values = gateway.new_array(jvm.java.lang.Class, len(given)), gateway.new_array(jvm.java.lang.Object, len(given))
+    for i, ((k, v),) in enumerate(x.items() for x in given):
+        kinds[i], values[i] = jvm.java.lang.Class.forName(k), v
+    return jvm.java.lang.Class.forName(kind).getMethod(method, kinds).invoke(bean, values)
 
 
 def shuffle_parts(spark: SparkSession) -> int:

@@ -31,6 +31,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         moved = new.filter("was != label").limit(1).count()
         labels = new.select("node", "label")
         C.delete(spark, f"{path}/{step - 1}")
+        C.release(spark)
         if not moved:
             C.delete(spark, f"{path}/links")
             return labels

@@ -86,6 +86,7 @@ def rake(cells: DataFrame, targets: dict | None = None, tolerance: float = 1e-6,
         state = C.written(state, f"{path}/{turn}")
         if turn:
             C.delete(spark, f"{path}/{turn - 1}")
+        C.release(spark)
         # The last marginal is met; how far are the others?
         far = [state.groupBy(f"_{d}").agg(F.abs(F.sum("weight") - F.first(f"_goal_{d}")).alias("far")).select("far") for d in DIMS[:-1]]
         off = far[0].unionByName(far[1]).agg(F.max("far")).first()[0] or 0.0
