@@ -4,9 +4,10 @@ import collections
 import math
 
 import plain
+import pyarrow as pa
 import pytest
 
-from wavemill.llm import common, ngram_lm, queries
+from wavemill.llm import common, ngram_lm, queries, textbytes
 
 
 def discounts(counts):
@@ -88,3 +89,16 @@ def test_odd_documents(odd, none):
     assert len(got) == odd.count() and all(r.score <= 0 for r in got)
     empty = ngram_lm.train(none.select("text"), order=3)
     assert {r.score for r in ngram_lm.score(odd.filter("doc_id = 3"), empty).collect()} == {0.0}
+
+
+def test_scoring_looks_each_word_and_bigram_up_once(spark, monkeypatch):
+    texts = ["a b a b a b c " * 20, "b c a", ""]
+    model = ngram_lm.train(spark.createDataFrame([(t,) for t in texts], "text string"), 3)
+    words, bigrams = [], []
+    look, bucket = ngram_lm.Words.look, ngram_lm.bigram_bucket
+    monkeypatch.setattr(ngram_lm.Words, "look", lambda self, h: words.extend(h.tolist()) or look(self, h))
+    monkeypatch.setattr(ngram_lm, "bigram_bucket", lambda keys, *rest: bigrams.extend(keys.tolist()) or bucket(keys, *rest))
+    b, off = textbytes.buffers(pa.array(texts))
+    model.scorer()(*ngram_lm.tokens(b, off, textbytes.Spans()), len(texts))
+    assert len(words) == len(set(words)) == 4
+    assert len(bigrams) == len(set(bigrams)) > 4

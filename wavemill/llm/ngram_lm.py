@@ -77,7 +77,7 @@ def tokens(b: np.ndarray, off: np.ndarray, spans: B.Spans) -> tuple[np.ndarray,
 
 
 def _totals(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
@@ -154,7 +154,7 @@ class Words:
 
     def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(id or -1, count) of each hash."""
-        order = np.argsort(h, kind="stable")
+        order = np.argsort(h)
         q = h[order]
         ids, counts = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64)
         part = (q >> np.uint64(self.bits)).astype(np.int64) if self.buckets > 1 else np.zeros(len(q), np.int64)
@@ -180,7 +180,7 @@ def bigram_keys(rows: np.ndarray, ids: np.ndarray, start_id: int) -> np.ndarray:
 
 def bigram_bucket(keys: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
     before = keys >> np.uint64(32)
-    spread = np.where(np.isin(before, hot), keys % np.uint64(HOT_SPREAD), np.uint64(0))
+    spread = np.where(hot[np.minimum(np.searchsorted(hot, before), len(hot) - 1)] == before, keys % np.uint64(HOT_SPREAD), np.uint64(0))
     return (B.fmix(before * np.uint64(HOT_SPREAD) + spread) % np.uint64(buckets)).astype(np.int64)
 
 
@@ -252,51 +252,63 @@ class Model:
                         x[order[edge[i] : edge[i + 1]]] = columns[k][i][at]
             return out
 
-        def pair_counts(keys_wanted):
+        def pairs(keys_wanted):
+            """The distinct bigrams, sorted; each one's bucket, place in it (-1: unknown) and count; where each wanted one is among them.
+            And (bucket, which of them it has) for each bucket."""
             u, back = np.unique(keys_wanted, return_inverse=True)
             part = bigram_bucket(u, hot, self.pair_buckets)
-            order = np.argsort(part, kind="stable")
+            place, counts, found = np.full(len(u), -1, np.int64), np.zeros(len(u), np.int64), []
+            for i, at in dealt(part):
+                a = keys[i]
+                if not len(a):
+                    continue
+                to = np.minimum(np.searchsorted(a, u[at]), len(a) - 1)
+                hit = a[to] == u[at]
+                at, to = at[hit], to[hit]
+                c = few[i][to].astype(np.int64)
+                over = c == 255
+                if over.any():
+                    c[over] = many[i][1][np.searchsorted(many[i][0], to[over])]
+                place[at], counts[at] = to, c
+                found.append((i, at))
+            return u, back, part, place, counts, found
+
+        def dealt(part):
+            """(bucket, places of its items) for each bucket that has some."""
+            order = np.argsort(part.astype(np.min_scalar_type(self.pair_buckets)), kind="stable")  # small numbers are sorted by radix
             edge = np.searchsorted(part[order], np.arange(self.pair_buckets + 1))
-            out = np.zeros(len(u), np.int64)
             for i in np.flatnonzero(edge[1:] > edge[:-1]):
-                at, a = order[edge[i] : edge[i + 1]], keys[i]
-                if len(a):
-                    place = np.minimum(np.searchsorted(a, u[at]), len(a) - 1)
-                    c = np.where(a[place] == u[at], few[i][place].astype(np.int64), 0)
-                    over = c == 255
-                    if over.any():
-                        c[over] = many[i][1][np.searchsorted(many[i][0], place[over])]
-                    out[at] = c
-            return out[back]
+                yield i, order[edge[i] : edge[i + 1]]
+
+        def sums_before(a, place):
+            """The sums of each block of a up to each place."""
+            block, within = np.divmod(place, BLOCK)
+            full = len(a) // BLOCK
+            rows = np.zeros((len(place), BLOCK), np.uint8)
+            inner = block < full
+            if full:
+                rows[inner] = a[: full * BLOCK].reshape(-1, BLOCK)[block[inner]]
+            rows[~inner, : len(a) - full * BLOCK] = a[full * BLOCK :]
+            rows[np.arange(BLOCK) >= within[:, None]] = 0
+            return rows.sum(axis=1, dtype=np.int64)
 
         if self.order == 3:
             triples = [tuple(mapped(self.folder, f"pair-{i}", k, t) for k, t in TRIPLES.items()) for i in range(self.pair_buckets)]
         f = np.array([0.0, *self.f])
 
-        def third(rows, ids, keys_wanted, both, p):
+        def third(head, looked, both, p):
             """Order 3 over p, the probabilities of order 2. A token's context is the bigram of the token before it."""
-            u, back = np.unique(keys_wanted, return_inverse=True)
-            part = bigram_bucket(u, hot, self.pair_buckets)
-            order = np.argsort(part, kind="stable")
-            edge = np.searchsorted(part[order], np.arange(self.pair_buckets + 1))
+            u, back, part, places, counts, found = looked
             start, end, follow = np.zeros(len(u), np.int64), np.zeros(len(u), np.int64), np.zeros((4, len(u)), np.int64)
-            for i in np.flatnonzero(edge[1:] > edge[:-1]):
-                at, a = order[edge[i] : edge[i + 1]], keys[i]
-                if not len(a):
-                    continue
-                place = np.minimum(np.searchsorted(a, u[at]), len(a) - 1)
-                hit = a[place] == u[at]
-                at, place = at[hit], place[hit]
+            for i, at in found:
+                place = places[at]
                 _, _, _, _, base, code, xi, xt, x1, x2, x3 = triples[i]
                 # Where the bigram's stretch starts: its block's start and the numbers of the bigrams before it.
-                head = place // BLOCK * BLOCK
-                near = head[:, None] + np.arange(BLOCK)
                 over, most = many[i]
                 excess = np.append(0, np.cumsum(most - 255))
                 upto = lambda x: excess[np.searchsorted(over, x)]  # noqa: E731, B023
-                small = few[i][np.minimum(near, len(a) - 1)].astype(np.int64)
-                start[at] = base[place // BLOCK] + (small * (near < place[:, None])).sum(axis=1) + upto(place) - upto(head)
-                end[at] = start[at] + few[i][place] + upto(place + 1) - upto(place)
+                start[at] = base[place // BLOCK] + sums_before(few[i], place) + upto(place) - upto(place // BLOCK * BLOCK)
+                end[at] = start[at] + counts[at]
                 if len(code):
                     x = code[place].astype(np.int64)
                     large = x == 0xFFFF
@@ -304,20 +316,19 @@ class Model:
                         follow[j, at] = x >> shift & 15
                         if large.any():
                             follow[j, at[large]] = long[np.searchsorted(xi, place[large])]
-            which = np.full(len(ids), -1, np.int64)
+            which = np.full(len(p), -1, np.int64)
             which[both] = back
-            before = np.full(len(ids), -1, np.int64)
+            before = np.full(len(p), -1, np.int64)
             before[1:] = which[:-1]
-            before[np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))] = -1
-            total, n1, n2, n3 = np.where(before >= 0, follow[:, before], 0) if len(u) else np.zeros((4, len(ids)), np.int64)
-            c = np.zeros(len(ids), np.int64)
+            before[head] = -1
+            # What a bigram gives as a context is worked out once for each; the last place is for none.
+            seen = np.append(np.maximum(follow[0], 1), 1)
+            total, rest = np.append(follow[0], 0)[before], (np.append(f[1] * follow[1] + f[2] * follow[2] + f[3] * follow[3], 0.0) / seen)[before]
+            c = np.zeros(len(p), np.int64)
             asked = np.flatnonzero((which >= 0) & (before >= 0) & (total > 0))
             pair = which[asked]
             word = (u[before[asked]] >> np.uint64(32)).astype("<u4")
-            order = np.argsort(part[pair], kind="stable")
-            edge = np.searchsorted(part[pair][order], np.arange(self.pair_buckets + 1))
-            for i in np.flatnonzero(edge[1:] > edge[:-1]):
-                at = order[edge[i] : edge[i + 1]]
+            for i, at in dealt(part[pair]):
                 a, count, ti, tc = triples[i][:4]
                 found = within(a, start[pair[at]], end[pair[at]], word[at])
                 at, found = at[found >= 0], found[found >= 0]
@@ -326,31 +337,33 @@ class Model:
                 if over.any():
                     x[over] = tc[np.searchsorted(ti, found[over])]
                 c[asked[at]] = x
-            seen = np.maximum(total, 1)
-            return np.where(total > 0, np.maximum(c - f[np.minimum(c, 3)], 0) / seen + (f[1] * n1 + f[2] * n2 + f[3] * n3) / seen * p, p)
+            return np.where(total > 0, np.maximum(c - f[np.minimum(c, 3)], 0) / seen[before] + rest * p, p)
 
         def score(rows, hashes, n):
-            ids, count = words.look(hashes)
-            (cont,) = of_ids(ids, "cont")
+            # What depends on one word is worked out once for each distinct one; the last place is the start's.
+            distinct, at = np.unique(hashes, return_inverse=True)
+            ids, count = words.look(distinct)
+            ids = np.append(ids, self.start_id)
+            cont, total, n1, n2, n3 = of_ids(ids, "cont", "total", "n1", "n2", "n3")
             types = max(1, self.types)
-            low = np.maximum(cont - e[np.minimum(cont, 3)], 0) / types + (self.e_mass / types if self.types else 1.0) * uniform
-            known = ids >= 0
-            before = np.full(len(ids), self.start_id, np.int64)
-            before[1:] = ids[:-1]
-            head = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-            before[head] = self.start_id
-            total, n1, n2, n3 = of_ids(before, "total", "n1", "n2", "n3")
-            c = np.zeros(len(ids), np.int64)
-            both = known & (before >= 0)
-            wanted = before[both].astype(np.uint64) << np.uint64(32) | ids[both].astype(np.uint64)
-            c[both] = pair_counts(wanted)
+            low = (np.maximum(cont - e[np.minimum(cont, 3)], 0) / types + (self.e_mass / types if self.types else 1.0) * uniform)[at]
+            base = np.log10((count + 1) / (self.n + self.v + 1))[at]
             seen = np.maximum(total, 1)
-            p = np.where(total > 0, np.maximum(c - d[np.minimum(c, 3)], 0) / seen + (d[1] * n1 + d[2] * n2 + d[3] * n3) / seen * low, low)
+            rest = (d[1] * n1 + d[2] * n2 + d[3] * n3) / seen
+            head = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+            prior = np.empty(len(at), np.int64)
+            prior[1:] = at[:-1]
+            prior[head] = len(distinct)
+            own, before = ids[at], ids[prior]
+            both = (own >= 0) & (before >= 0)
+            looked = pairs(before[both].astype(np.uint64) << np.uint64(32) | own[both].astype(np.uint64))
+            c = np.zeros(len(at), np.int64)
+            c[both] = looked[4][looked[1]]
+            p = np.where(total[prior] > 0, np.maximum(c - d[np.minimum(c, 3)], 0) / seen[prior] + rest[prior] * low, low)
             if self.order == 3:
-                p = third(rows, ids, wanted, both, p)
-            base = np.log10((count + 1) / (self.n + self.v + 1))
+                p = third(head, looked, both, p)
             add = lambda x: np.bincount(rows, weights=x, minlength=n)
-            return np.bincount(rows, minlength=n), np.bincount(rows, weights=count > 0, minlength=n).astype(np.int64), add(base), add(np.log10(p))
+            return np.bincount(rows, minlength=n), add((count > 0)[at]).astype(np.int64), add(base), add(np.log10(p))
 
         return score
 
