@@ -70,6 +70,15 @@ def release(spark: SparkSession) -> None:
         _call(spark, "javax.management.MBeanServer", beans.getPlatformMBeanServer(), "invoke", {"javax.management.ObjectName": name}, {"java.lang.String": "systemTrimNativeHeap"}, {"[Ljava.lang.Object;": None}, {"[Ljava.lang.String;": None})
 
 
+def release_all(spark: SparkSession) -> None:
+    """release(), and the executors' JVMs collect too, which else happens only where their heaps are full: a heap that a large step
+    has grown shrinks before the next step. A task each, which Spark deals to all executors while they are idle."""
+    release(spark)
+    executors = spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size() - 1  # the driver is among them
+    if executors > 0:
+        spark.range(0, executors, 1, executors).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 def _call(spark: SparkSession, kind: str, bean, method: str, *given: dict):
     """bean.method(...) by the method of its interface, as the classes of the JVM's beans can't be reached; given: {type: value} each."""
     gateway, jvm = spark.sparkContext._gateway, spark._jvm

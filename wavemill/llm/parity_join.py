@@ -478,7 +478,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, block: in
     keys = named.mapInArrow(_part_keys(n, percent, buckets), "bucket int, blob binary")
     lists = keys.groupBy("bucket").applyInArrow(_agreeing, "head bigint, others array<bigint>").distinct()
     found = C.written(lists.select("head", F.explode("others").alias("_id")).distinct(), f"{path}/found")
-    C.release(spark)
+    C.release_all(spark)
 
     # From documents to representatives. Every pair that agrees in a part is in the group of some head.
     full = base.filter("n > 0 and _id is not null")
@@ -488,13 +488,13 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, block: in
     named_rows = rows.join(rep_of, "_id").select("head", "salt", F.col("rep").alias("_id"), "n")
     members = named_rows.join(heads, ["head", "salt"]).select(F.col("lead").alias("head"), F.col("lead_n").alias("head_n"), "_id", "n")
     members = C.written(members.filter("head <> _id").distinct(), f"{path}/members")
-    C.release(spark)
+    C.release_all(spark)
     own = members.select("head", F.col("head").alias("_id"), F.col("head_n").alias("n")).distinct()
     led = members.select("head", "_id", "n").distinct().unionByName(own)
     wanted = led.select("_id").distinct()
     sets = C.written(_sets_of(named, wanted, n, percent), f"{path}/sets")
     small = C.written(full.filter("_id = rep").select("_id", "n", "sketch").distinct().join(wanted, "_id", "left_semi"), f"{path}/sketches")
-    C.release(spark)
+    C.release_all(spark)
 
     # Against the head of each group, where sketches don't rule a link out.
     pairs = members.filter(100 * F.least("n", "head_n") >= percent * F.greatest("n", "head_n")).select("head", "_id", F.least("n", "head_n").alias("least"))
@@ -502,20 +502,20 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, block: in
     heads = heads.join(small.select(F.col("_id").alias("head"), F.col("sketch").alias("head_sketch")), "head")
     both = rows.join(small.select("_id", "sketch"), "_id").join(heads, ["head", "salt"])
     likely = C.written(both.select("head", "_id", "least", "sketch", "head_sketch").mapInArrow(_plausible(percent), PAIRS).distinct(), f"{path}/likely")
-    C.release(spark)
+    C.release_all(spark)
     # Rows of one id with several texts are one document.
     several = rep_of.groupBy("_id").agg(F.min("rep").alias("a"), F.count("*").alias("c")).filter("c > 1").select("_id", "a")
     links = C.written(several.join(rep_of.select("_id", F.col("rep").alias("b")), "_id").filter("a <> b").select("a", "b"), f"{path}/links")
     # First each document against one head; of its other pairs only those that are in different components still.
     links = links.unionByName(C.written(_verified(likely.groupBy("_id").agg(F.min("head").alias("head")).select("head", "_id"), sets, percent, many=True), f"{path}/links0"))
-    C.release(spark)
+    C.release_all(spark)
     labels = components(links)
     of_head = labels.select(F.col("node").alias("head"), F.col("label").alias("head_label"))
     rows, heads = _dealt(likely, likely.select("head").distinct())
     apart = rows.join(labels.withColumnRenamed("node", "_id"), "_id", "left").join(heads.join(of_head, "head", "left"), ["head", "salt"])
     apart = apart.filter(F.coalesce("label", "_id") != F.coalesce("head_label", "head")).select("head", "_id")
     more = C.written(_verified(C.written(apart, f"{path}/apart"), sets, percent), f"{path}/links1")
-    C.release(spark)
+    C.release_all(spark)
     if more.limit(1).count():
         links = links.unionByName(more)
         labels = components(links)
@@ -525,10 +525,10 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, block: in
     led = C.written(led.select("head", "_id"), f"{path}/led")
     blocks = _split(led, labels, small, block)
     doubt = C.written(blocks.groupBy("head", "i", "j").applyInArrow(_in_doubt(percent), BLOCK), f"{path}/doubt")
-    C.release(spark)
+    C.release_all(spark)
     doubt = doubt.join(sets.select("_id", F.col("fine").alias("sketch"), "elements"), "_id")
     more = C.written(doubt.groupBy("head", "i", "j").applyInArrow(_linked(percent), LINKS), f"{path}/links2")
-    C.release(spark)
+    C.release_all(spark)
     if more.limit(1).count():
         links = links.unionByName(more)
         labels = components(links)

@@ -204,7 +204,7 @@ class Family:
             self.levels.append((n + m, to))
             C.delete(self.spark, p)
             C.delete(self.spark, q)
-        C.release(self.spark)
+        C.release_all(self.spark)
 
     def _list(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
